@@ -26,19 +26,20 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.common import map_batches
 
-#: Most labelled rows of each class that training takes, by the order of a hash of the id, and most characters of all of
-#: a class together (rows beyond are left out whole).
-SAMPLE_PER_CLASS = 1000
-SAMPLE_CHARS = 3_000_000
+#: Most labelled rows of either label that training takes, by the order of a hash of the id, and most characters of a
+#: label's rows together (rows beyond are left out whole). Clean rows are the many: what toxic rows say by chance must show there too.
+SAMPLE_ROWS = {1: 1000, 0: 3500}
+SAMPLE_CHARS = {1: 3_000_000, 0: 9_000_000}
 LANDMARKS = 240
-DECAY = 0.85
+DECAY = 0.7
 #: Longest span of a subsequence, by its length: up to two and three inserted characters.
 SPANS = {3: 5, 4: 7}
-#: A word of a toxic row is an instance beside the row's strongest word from these log-odds and this share of toxic rows on.
+#: A word of a toxic row is an instance, in place of the row's strongest word, from these log-odds and this share of toxic rows on.
 ODDS = 3.0
 SHARE = 0.01
-PENALTY = 3e-5
+PENALTY = 1e-5
 ROUNDS = 6
+COPY_MINIMA = 12
 #: A longer word counts as overlapping parts of this many symbols.
 LONGEST_WORD = 32
 #: At least so many one-letter words in a row are also read as one word.
@@ -245,14 +246,14 @@ def words_of(text: str) -> list[str]:
 
 
 def distinct_rows(texts: list[str]) -> list[int]:
-    """Rows without near copies of earlier ones, by two minima over hashes of word triples: what a copied text says by
+    """Rows without near copies of earlier ones, by COPY_MINIMA minima over hashes of four words in a row: what a copied text says by
     chance would else count as often as it was copied."""
     seen: set[tuple[int, int]] = set()
     out = []
     for k, text in enumerate(texts):
         words = text.split()
-        hashes = np.fromiter((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), dtype=np.uint32)
-        low = {(n, int((hashes * np.uint32(m)).min())) for n, m in enumerate((1, 2654435761))}
+        hashes = np.fromiter((zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))), dtype=np.uint32)
+        low = {(n, int(((hashes ^ (hashes >> np.uint32(15))) * np.uint32(m)).min())) for n, m in enumerate(range(2654435761, 2654435761 + 2 * COPY_MINIMA, 2))}
         if not low & seen:
             out.append(k)
         seen |= low
@@ -287,7 +288,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
         for k in rows:
             mine = held[k]
             first = mine[np.argsort(-value[mine], kind="stable")[: 1 if y[k] else 4]]
-            strongest.append(np.union1d(first, mine[(odds[mine] >= ODDS) & (seen[1][mine] >= often)]) if y[k] else first)
+            told = mine[(odds[mine] >= ODDS) & (seen[1][mine] >= often)] if y[k] else first
+            strongest.append(told if len(told) else first)
         if turn < 2:  # landmarks: the words taken for insults most often, strong words of clean rows, and any words
             taken = np.bincount(np.concatenate([s for k, s in zip(rows, strongest, strict=True) if y[k]]), minlength=len(vocabulary))
             first = np.argsort(-taken, kind="stable")[: LANDMARKS // 2]
@@ -320,8 +322,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
     return ToxicityModel(table, slope, shift + slope * bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
-    """Train on at most per_class rows of each label, and SAMPLE_CHARS characters, among the rows where `learn` holds. Rows
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Train on at most SAMPLE_ROWS rows and SAMPLE_CHARS characters of each label among the rows where `learn` holds. Rows
     with a null id or label do not count; a row that is labelled twice counts with the larger label."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn & F.col("id").isNotNull())
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -330,9 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     found: list[int] = []
     for y in (0, 1):
         chars = 0
-        for r in pool.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id", "text").limit(per_class).collect():
+        for r in pool.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id", "text").limit(SAMPLE_ROWS[y]).collect():
             text = r["text"] or ""
-            if chars + len(text) <= SAMPLE_CHARS:
+            if chars + len(text) <= SAMPLE_CHARS[y]:
                 chars += len(text)
                 texts.append(text)
                 found.append(y)
