@@ -1,8 +1,8 @@
 """Packing documents into sequences: shortest-pack-first over the length histogram.
 
 A document's ids are cut into whole sequences and one rest. Only how many pieces of each length there are matters for the
-plan, so the driver sees a histogram of at most max_tokens rows. Lengths are placed longest first, each into the pack
-pattern whose filled part is the shortest one that ... leaves room, updating the patterns' counts; the patterns then give every
+plan, so the driver sees a histogram of at most max_tokens rows. Lengths are placed longest first, each into the pattern
+that is filled the least (or one that it fills exactly), updating the patterns' counts; the patterns then give every
 (length, rank) a sequence and an offset, and pieces join them by their rank among the pieces of their length.
 """
 
@@ -75,9 +75,8 @@ def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: in
 def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in a sequence, how many sequences) for a histogram {length: pieces}.
 
-    Lengths go longest first. Packs with room for a length take it, those with the least room left over first served last:
-    the pack filled the shortest that still has room comes first, as long as the counts of both last; what finds no pack
-    opens new ones. Work depends on the number of lengths and patterns, never on the number of pieces.
+    Lengths go longest first. Packs that a length fills exactly take it first, then the packs filled the least, as long as
+    the counts of both last; what finds no pack opens new ones. Work depends on the number of lengths and patterns, never on the number of pieces.
     """
     packs: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by room left
     rooms: list[int] = []
@@ -94,7 +93,6 @@ def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            # shortest pack first: of the packs that have room, one with the most room
             exact = bisect_left(rooms, length)
             if exact == len(rooms):
                 add(max_tokens - length, (length,), left)

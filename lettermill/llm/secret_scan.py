@@ -8,13 +8,16 @@ and the sum of n * log2(n) over them, both changed by the character that enters
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of the base kinds, in their order, and the least length of what must be long.
 ASSIGN = r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# runs of at least so many signs: what is left of [0-9a-f]+ when shorter matches drop
+LONG_HEX = r"[0-9a-f]{16,}"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 
@@ -56,7 +59,7 @@ def _entropy_window(value: Column, alphabet: str, window: int, least: float) ->
     counts[c] is how often character c stands in the window, total the sum of counts * log2(counts); H = log2(w) - total / w.
     """
     at = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, 1))
-    weight = F.array(*[F.lit(0.0)] + [F.lit(float(n * __import__("math").log2(n))) for n in range(1, window + 2)])
+    weight = F.array(*[F.lit(0.0)] + [F.lit(float(n * math.log2(n))) for n in range(1, window + 2)])
     limit = F.log2(F.lit(float(window))) - F.lit(least)
 
     def slide(acc: Column, i: Column) -> Column:
@@ -118,11 +121,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.col("_text")
     assign = F.filter(_spans(t, ASSIGN, "assign"), lambda s: F.char_length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST["assign"])
     access = F.filter(_spans(t, ACCESS, "access"), lambda s: F.char_length(s["value"]) >= LEAST["access"])
-    hexes = _spans(t, HEX + "{16,}".replace("+", "") if False else r"[0-9a-f]{16,}", "hex")
+    hexes = F.filter(_spans(t, LONG_HEX, "hex"), lambda s: F.char_length(s["value"]) >= LEAST["hex"])
     rows = (
         rows.withColumn("_assign", F.when(t.rlike(ASSIGN), assign).otherwise(none))
         .withColumn("_access", F.when(t.contains("AKIA"), access).otherwise(none))
-        .withColumn("_hex", F.when(t.rlike(r"[0-9a-f]{16}"), hexes).otherwise(none))
+        .withColumn("_hex", F.when(t.rlike(LONG_HEX), hexes).otherwise(none))
         .withColumn("_e1", F.when(t.rlike(CLASSES["entropy_hex"][0]), _entropy_spans(t, "entropy_hex")).otherwise(none))
         .withColumn("_e2", F.when(t.rlike(CLASSES["entropy_base64"][0]), _entropy_spans(t, "entropy_base64")).otherwise(none))
     )
