@@ -158,3 +158,30 @@ def components(links: DataFrame) -> DataFrame:
 def word_bytes(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case: runs of anything but space and the five ASCII controls 09-0D."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, rows: dict[int, int], chars: dict[int, int]) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of a bounded sample: at most rows[y] documents and chars[y] characters of label y, by the order
+    of a hash of the id, among the documents where `learn` (over a column id) holds.
+
+    Ids and lengths choose the sample; only its texts are collected, and only its ids, rows[0] + rows[1] at most, are
+    broadcast. A document that is labelled twice counts with the larger label, one that is there twice with its smallest
+    text; null ids and labels other than 0 and 1 do not count.
+    """
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(learn & F.col("id").isNotNull())
+    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    sizes = named.groupBy("id").agg(F.min(F.char_length("text")).alias("n"))
+    pool = staged(sizes.join(marked, "id"), "labelled")
+    chosen: list[tuple[int, int]] = []
+    for y in (0, 1):
+        left = chars[y]
+        for r in pool.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows[y]).collect():
+            if r["n"] <= left:
+                left -= r["n"]
+                chosen.append((r["id"], y))
+    if not chosen:
+        return [], []
+    ids = docs.sparkSession.createDataFrame(chosen, "id long, y int")
+    found = named.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min(F.struct(F.char_length("text").alias("n"), "text")).alias("m")).select("id", "m.text")
+    picked = {r["id"]: r["text"] for r in found.collect()}
+    return [picked[i] for i, _ in chosen], [y for _, y in chosen]

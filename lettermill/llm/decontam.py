@@ -148,7 +148,7 @@ def _verifier(least: int, similarity: float):
 def _hash_map(seeds: DataFrame) -> np.ndarray:
     """The map of test hashes: MAP_BITS bits, a row for each 64 of them at most, whatever the number of hashes."""
     slot = F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1))
-    words = seeds.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(hash & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = seeds.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(MAP_BITS // 64, dtype=np.int64)
     for r in words.toLocalIterator():
         out[r["w"]] = r["b"]
@@ -193,5 +193,5 @@ def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opt
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that overlap with no test item."""
-    gone = staged(overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = staged(overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__lm_gone")).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__lm_gone")), "left_anti")

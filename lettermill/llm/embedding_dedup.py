@@ -21,6 +21,8 @@ BLOCKS = 4
 #: Filters that a vector is expected to exceed, and vectors that a filter is expected to hold.
 FILTERS = 26.0
 OCCUPANCY = 0.5
+#: Filters that each vector is given at least.
+LEAST = 24
 SEED = 17
 
 
@@ -60,16 +62,21 @@ class Code:
         return out
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Sorted filters of each row: all that exceed the height, the best one at least."""
+        """Sorted filters of each row: all that exceed the height, the LEAST best or more at any rate."""
         parts = self.turn(x).reshape(len(x), BLOCKS, -1)
         scores = np.einsum("nbd,bwd->nbw", parts, self.book)
         out = []
         for s in scores:
             left, right = (s[0][:, None] + s[1][None, :]).ravel(), (s[2][:, None] + s[3][None, :]).ravel()
-            limit = min(self.height, left.max() + right.max())
-            a, b = np.flatnonzero(left >= limit - right.max()), np.flatnonzero(right >= limit - left.max())
-            b = b[np.argsort(-right[b], kind="stable")]
-            n = np.searchsorted(-right[b], left[a] - limit, side="right")
+            limit = self.height
+            while True:  # a vector whose parts are uneven exceeds few filters at the common height: its own cap is lower
+                limit = min(limit, left.max() + right.max())
+                a, b = np.flatnonzero(left >= limit - right.max()), np.flatnonzero(right >= limit - left.max())
+                b = b[np.argsort(-right[b], kind="stable")]
+                n = np.searchsorted(-right[b], left[a] - limit, side="right")
+                if n.sum() >= min(LEAST, self.words**BLOCKS):
+                    break
+                limit -= 0.01
             first = np.repeat(np.cumsum(n) - n, n)
             out.append(np.unique(np.repeat(a, n) * self.words**2 + b[np.arange(n.sum()) - first]))
         return out

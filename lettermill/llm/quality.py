@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import map_batches
+from lettermill.llm.common import labelled_sample, map_batches
 
-#: Most labelled rows of each class that training takes, by the order of a hash of the id.
-SAMPLE_PER_CLASS = 1500
+#: Most labelled rows of either label that training takes, by the order of a hash of the id, and most characters of them.
+SAMPLE_ROWS = {0: 1200, 1: 1200}
+SAMPLE_CHARS = {0: 4_000_000, 1: 4_000_000}
 BUCKETS = 1 << 18
 DIMENSIONS = 12
 NGRAMS = (2, 3, 4)
@@ -64,7 +65,7 @@ def _bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     if not parts:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
     ids, n = np.unique(np.concatenate(parts), return_counts=True)
-    return ids, (n / n.sum()).astype(np.float32)
+    return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
@@ -103,15 +104,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> QualityModel:
     return QualityModel((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Train on at most per_class rows of each label among those where `learn` holds; rows with a null label or id do not count."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn & F.col("id").isNotNull())
-    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    pool = known.join(marked, "id")
-    rows = []
-    for y in (0, 1):
-        rows += pool.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(11)), "id", "text").limit(per_class).collect()
-    return train([r["text"] or "" for r in rows], [r["y"] for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Train on at most SAMPLE_ROWS rows and SAMPLE_CHARS characters of each label among the rows where `learn` holds."""
+    return train(*labelled_sample(docs, labels, learn, id_col, text_col, label_col, SAMPLE_ROWS, SAMPLE_CHARS))
 
 
 def _scorer(shared):
@@ -124,7 +119,7 @@ def _scorer(shared):
             scores = np.empty(len(texts))
             for i in range(len(texts)):
                 words = (texts[i].as_py() or "").split()
-                for w in set(words).difference(known) if len(words) < 1_000_000 else set(words) - known.keys():
+                for w in set(words).difference(known):
                     f = features(w)
                     known[w] = complex(float(model.value[f].sum(dtype=np.float64)), len(f))
                 total = sum(map(known.__getitem__, words), 0j)

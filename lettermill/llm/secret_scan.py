@@ -108,31 +108,28 @@ def _ordered(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with two columns more: base_spans and all_spans, arrays of (kind, start, end) ordered by start, then kind.
+def scan(docs: DataFrame, text_col: str = "text", base_col: str = "base_spans", all_col: str = "all_spans") -> DataFrame:
+    """docs with two columns more: base_col and all_col, arrays of (kind, start, end) ordered by start, then kind.
 
-    Whole texts are scanned; a null text is empty and has no spans. all_spans adds to base_spans the entropy spans that no
-    base span covers. Texts in which no pattern can match skip the marking. Rows and other columns stay as they are.
+    Whole texts are scanned; a null text is empty and has no spans. all_col adds to base_col the entropy spans that no base
+    span covers. Texts in which no pattern can match skip the marking. Rows and other columns stay as they are, but for
+    columns that already have the two names, which are replaced.
     """
     # one-for-one replacement keeps positions: no pattern holds the two signs
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, "\x03\x03")
+    rows = docs.withColumn("__lm_text", F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, "\x03\x03"))
+    t = F.col("__lm_text")
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,value:string>>")
-    rows = docs.withColumn("_text", text)
-    t = F.col("_text")
     assign = F.filter(_spans(t, ASSIGN, "assign"), lambda s: F.char_length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST["assign"])
     access = F.filter(_spans(t, ACCESS, "access"), lambda s: F.char_length(s["value"]) >= LEAST["access"])
     hexes = F.filter(_spans(t, LONG_HEX, "hex"), lambda s: F.char_length(s["value"]) >= LEAST["hex"])
-    rows = (
-        rows.withColumn("_assign", F.when(t.rlike(ASSIGN), assign).otherwise(none))
-        .withColumn("_access", F.when(t.contains("AKIA"), access).otherwise(none))
-        .withColumn("_hex", F.when(t.rlike(LONG_HEX), hexes).otherwise(none))
-        .withColumn("_e1", F.when(t.rlike(CLASSES["entropy_hex"][0]), _entropy_spans(t, "entropy_hex")).otherwise(none))
-        .withColumn("_e2", F.when(t.rlike(CLASSES["entropy_base64"][0]), _entropy_spans(t, "entropy_base64")).otherwise(none))
+    rows = rows.withColumn(
+        "__lm_base",
+        F.concat(F.when(t.rlike(ASSIGN), assign).otherwise(none), F.when(t.contains("AKIA"), access).otherwise(none), F.when(t.rlike(LONG_HEX), hexes).otherwise(none)),
     )
-    base = F.concat("_assign", "_access", "_hex")
-    rows = rows.withColumn("_base", base)
-    uncovered = F.filter(F.concat("_e1", "_e2"), lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    return rows.withColumn("base_spans", _ordered(F.col("_base"))).withColumn("all_spans", _ordered(F.concat("_base", uncovered))).drop("_text", "_assign", "_access", "_hex", "_e1", "_e2", "_base")
+    rows = rows.withColumn("__lm_more", F.concat(*[F.when(t.rlike(CLASSES[k][0]), _entropy_spans(t, k)).otherwise(none) for k in CLASSES]))
+    uncovered = F.filter("__lm_more", lambda s: ~F.exists(F.col("__lm_base"), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+    out = rows.withColumn(base_col, _ordered(F.col("__lm_base"))).withColumn(all_col, _ordered(F.concat("__lm_base", uncovered)))
+    return out.drop("__lm_text", "__lm_base", "__lm_more")
 
 
 def joined(spans: Column) -> Column:
@@ -151,9 +148,9 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
         )
 
     done = F.aggregate(
-        F.col("all_spans"),
+        F.col("__lm_all"),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         cut,
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(F.col(text_col)))),
     )
-    return scan(docs, text_col).withColumn(text_col, F.when(F.size("all_spans") > 0, done).otherwise(F.col(text_col))).drop("base_spans", "all_spans")
+    return scan(docs, text_col, "__lm_found", "__lm_all").withColumn(text_col, F.when(F.size("__lm_all") > 0, done).otherwise(F.col(text_col))).drop("__lm_found", "__lm_all")

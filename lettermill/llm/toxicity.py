@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import map_batches
+from lettermill.llm.common import labelled_sample, map_batches
 
 #: Most labelled rows of either label that training takes, by the order of a hash of the id, and most characters of a
 #: label's rows together (rows beyond are left out whole). Clean rows are the many: what toxic rows say by chance must show there too.
@@ -325,56 +325,38 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Train on at most SAMPLE_ROWS rows and SAMPLE_CHARS characters of each label among the rows where `learn` holds. Rows
     with a null id or label do not count; a row that is labelled twice counts with the larger label."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn & F.col("id").isNotNull())
-    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    pool = known.join(marked, "id")
-    texts: list[str] = []
-    found: list[int] = []
-    for y in (0, 1):
-        chars = 0
-        for r in pool.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id", "text").limit(SAMPLE_ROWS[y]).collect():
-            text = r["text"] or ""
-            if chars + len(text) <= SAMPLE_CHARS[y]:
-                chars += len(text)
-                texts.append(text)
-                found.append(y)
-    return train(texts, found)
-
-
-def _scorer(shared):
-    def make():
-        model = shared.value
-        low = float(-1e30)
-        known: dict[str, float] = {}
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal known
-            texts = batch.column(1)
-            best = np.full(len(texts), low)
-            at = 0
-            while at < len(texts):  # some texts at a time, so that their new words are valued together
-                bags, size = [], 0
-                while at + len(bags) < len(texts) and size < CHARS_AT_ONCE:
-                    text = texts[at + len(bags)].as_py() or ""
-                    size += len(text)
-                    bags.append(set(words_of(text)))
-                new = list(set().union(*(b.difference(known) for b in bags)))
-                if len(known) + len(new) > CACHE_WORDS:
-                    known = {}
-                    new = list(set().union(*bags))
-                for i in range(0, len(new), 50_000):
-                    some = new[i : i + 50_000]
-                    known.update(zip(some, values(some, model.table).tolist(), strict=True))
-                for bag in bags:
-                    best[at] = max(map(known.__getitem__, bag), default=low)
-                    at += 1
-            z = np.where(best > low, model.slope * best + model.shift, -30.0 if model.slope else model.shift)
-            scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["id", "score"])
-
-        return step
-
-    return make
+    return train(*labelled_sample(docs, labels, learn, id_col, text_col, label_col, SAMPLE_ROWS, SAMPLE_CHARS))
+
+
+def _batch_scorer(model: ToxicityModel):
+    """Scores of an array of texts; words valued before are kept, up to CACHE_WORDS."""
+    low = float(-1e30)
+    known: dict[str, float] = {}
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        nonlocal known
+        best = np.full(len(texts), low)
+        at = 0
+        while at < len(texts):  # some texts at a time, so that their new words are valued together
+            bags, size = [], 0
+            while at + len(bags) < len(texts) and size < CHARS_AT_ONCE:
+                text = texts[at + len(bags)].as_py() or ""
+                size += len(text)
+                bags.append(set(words_of(text)))
+            new = list(set().union(*(b.difference(known) for b in bags)))
+            if len(known) + len(new) > CACHE_WORDS:
+                known = {}
+                new = list(set().union(*bags))
+            for i in range(0, len(new), 50_000):
+                some = new[i : i + 50_000]
+                known.update(zip(some, values(some, model.table).tolist(), strict=True))
+            for bag in bags:
+                best[at] = max(map(known.__getitem__, bag), default=low)
+                at += 1
+        z = np.where(best > low, model.slope * best + model.shift, -30.0 if model.slope else model.shift)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return scores
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,4 +364,21 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     if the model knows one label only); repeated ids give repeated rows; other columns are ignored; an empty table gives an
     empty result. The model sent to tasks has a fixed size, 4 bytes a subsequence code."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), _scorer(shared), "id long, score double")
+
+    def make():
+        scores = _batch_scorer(shared.value)
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], names=["id", "score"])
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns; no join is needed."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def make():
+        scores = _batch_scorer(shared.value)
+        return lambda batch: batch.filter(pa.array(scores(batch.column(place)) < threshold))
+
+    return map_batches(docs, make, docs.schema)
