@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def queries():
-    return {}
 
+def query(name: str, sql: str | None = None):
+    """Register a query function under a name, with the DuckDB SQL that gives the same rows."""
 
-def oracle_sql():
-    return {}
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    from lettermill.plans import catalog_queries, graph_queries, mail_queries, search_queries, text_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return QUERIES["j17_communication_partners"](spark, sf_dir)
