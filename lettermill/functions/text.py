@@ -248,7 +248,7 @@ def md_citations(markdown: Column) -> Column:
 def md_tables(markdown: Column) -> Column:
     """Pipe tables as (headers, rows); a row maps headers to cells. A table is a block of lines that start with | and whose
     second line is the separator."""
-    table = r"(?m)^(\|[^\n]*)\n\|[\s\-|:]+\|[^\S\n]*(?:\n\|[^\n]*)*"
+    table = r"(?m)^(\|[^\n]*)\n\|[ \t\-|:]+\|[ \t]*(?:\n\|[^\n]*)*"
     whole = F.regexp_extract_all(markdown, F.lit(table), 0)
 
     def cells(line: Column) -> Column:

@@ -54,7 +54,7 @@ both("f12_folder_path", "documents", lambda: [X.folder_path(F.array(F.when(F.col
 both("f13_remap_path", "nas_hits", lambda: [X.remap_path(F.col("nas_path"), "/volume1/shared", "/mnt/nas").alias("path")], "case when starts_with(nas_path,'/volume1/shared') then concat('/mnt/nas',substr(nas_path,16)) else concat('/mnt/nas',nas_path) end as path", "seq")
 both("f14_default_filename", "nas_hits", lambda: [X.default_filename(F.col("name"), F.col("seq")).alias("file_name")], "coalesce(nullif(name,''), concat('attachment',seq)) as file_name", "seq")
 both("f15_guess_content_type", "attachments", lambda: [X.guess_content_type(F.col("filename")).alias("content_type")], "case lower(regexp_extract(filename,'\\.([^.]+)$',1)) when 'pdf' then 'application/pdf' when 'docx' then 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' when 'xlsx' then 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' else 'application/octet-stream' end as content_type")
-both("f20_human_bytes", "documents", lambda: [X.human_bytes(F.col("n_chars") * F.col("n_chars")).alias("shown")], "case when n_chars*n_chars<1024 then concat(n_chars*n_chars,' B') when n_chars*n_chars<1048576 then concat(printf('%.1f',n_chars*n_chars/1024.0::double),' KB') when n_chars*n_chars<1073741824 then concat(printf('%.1f',n_chars*n_chars/1048576.0::double),' MB') else concat(printf('%.1f',n_chars*n_chars/1073741824.0::double),' GB') end as shown", "doc_id")
+both("f20_human_bytes", "documents", lambda: [X.human_bytes(F.col("n_chars") * F.col("n_chars")).alias("shown")], "case when n_chars*n_chars<1024 then concat(n_chars*n_chars,' B') when n_chars*n_chars<1048576 then concat(printf('%.1f',floor(n_chars*n_chars/1024.0::double*10+0.5)/10),' KB') when n_chars*n_chars<1073741824 then concat(printf('%.1f',floor(n_chars*n_chars/1048576.0::double*10+0.5)/10),' MB') else concat(printf('%.1f',floor(n_chars*n_chars/1073741824.0::double*10+0.5)/10),' GB') end as shown", "doc_id")
 both("f21_hex_id", "documents", lambda: [X.hex_id(F.encode("lang", "UTF-8")).alias("hex_id")], "lower(hex(encode(lang))) as hex_id", "doc_id")
 both("f22_content_hash", "documents", lambda: [X.content_hash(F.encode("text", "UTF-8")).alias("content_hash"), X.partial_hash(F.encode("text", "UTF-8")).alias("partial_hash")], "sha256(text) as content_hash, sha256(text) as partial_hash", "doc_id", " where octet_length(encode(text)) <= 1048576")
 both("f23_to_epoch_millis", "emails", lambda: [X.to_epoch_millis(F.col("received")).alias("received_ms")], "epoch_us(received)//1000 as received_ms")
