@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, decontam, embedding_dedup, packing, quality, secret_scan, simhash, token_output, toxicity, warc
+from lettermill.llm import chat, decontam, embedding_dedup, oracles, packing, quality, secret_scan, simhash, token_output, toxicity, warc
 
 
 def _rest(mod: int):
@@ -88,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_packing, op3_quality, op4_token_output, op5_embedding_dedup, op6_secret_scan, op7_simhash, op8_warc, op9_chat, op10_decontam)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL, where it can express the query.
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
