@@ -16,12 +16,16 @@ from pyspark.sql import types as T
 BLOCK_ROWS = 1024
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a new local one for
+    this application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lettermill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='lettermill-')}"
+        _own_dirs[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -155,11 +159,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
 
 
-def word_bytes(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z in lower case: runs of anything but space and the five ASCII controls 09-0D."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, rows: dict[int, int], chars: dict[int, int]) -> tuple[list[str], list[int]]:
     """Whole texts and labels of a bounded sample: at most rows[y] documents and chars[y] characters of label y, by the order
     of a hash of the id, among the documents where `learn` (over a column id) holds.
