@@ -9,6 +9,7 @@ from lettermill.operators import rag as R
 from lettermill.plans.mail_queries import TS, m_sql, mails, ts
 from lettermill.plans.registry import query
 from lettermill.sources.fixtures import duckdb, table
+from lettermill.sources.stored import fresh_path
 from lettermill.functions import text as X
 
 
@@ -244,11 +245,7 @@ def d4(spark, sf):
 
 @query("s10_write_graph", m_sql("select source, target, count from cw", more=COMM))
 def s10(spark, sf):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "graph")
     edges = G.communicates_with(mails(spark, sf))
     for part in (edges.where("length(source) % 2 = 0"), edges):  # the second write adds only what the first has not
         G.write_graph(path, {"communicates_with": (part, ["source", "target"])})

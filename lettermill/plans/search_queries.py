@@ -9,6 +9,7 @@ from lettermill.plans.mail_queries import TRIM_BODY, m_sql, mails
 from lettermill.plans.registry import query
 from lettermill.plans.text_queries import strip_sql
 from lettermill.sources.fixtures import duckdb, table
+from lettermill.sources.stored import fresh_path, stored
 from lettermill.streaming import index_sync
 
 STOP = ["the", "of", "and", "de", "la", "der", "die", "que"]
@@ -40,6 +41,13 @@ def index(spark, sf):
     return S.index_rows(mails(spark, sf))
 
 
+def searchable(spark, sf):
+    """The index, its postings and sizes as stored tables, as a search job finds them."""
+    i = stored(index(spark, sf), "index")
+    post = stored(S.postings(i, STOP), "postings", "term")
+    return i, post, stored(S.lengths(post), "lengths")
+
+
 @query("s8_write_email_index", m_sql("select message_key, mail_id, subject, sha256(body_delta) as body_hash, sender_key, owner, thread_id, epoch_us(received)//1000 as received_ms from ix", more=INDEX))
 def s8(spark, sf):
     return index(spark, sf).select("message_key", "mail_id", "subject", F.sha2("body_delta", 256).alias("body_hash"), "sender_key", "owner", "thread_id", "received_ms")
@@ -52,7 +60,8 @@ def d7(spark, sf):
 
 @query("a21_corpus_stats", m_sql("select field, docs, round(avg_len,6) as avg_len, (select count(*) from df where df.field=fl.field) as terms from fl", more=STATS))
 def a21(spark, sf):
-    terms, fields = S.corpus_stats(S.postings(index(spark, sf), STOP))
+    _, post, sizes = searchable(spark, sf)
+    terms, fields = S.corpus_stats(post, sizes)
     return fields.join(terms.groupBy("field").agg(F.count(F.lit(1)).alias("terms")), "field").select("field", "docs", F.round("avg_len", 6).alias("avg_len"), "terms")
 
 
@@ -83,20 +92,20 @@ _TERMS = ",".join(f"'{t}'" for t in TERMS)
 
 @query("f18_rank_text", m_sql(ranked_sql(_TERMS, 20), more=STATS))
 def f18(spark, sf):
-    i = index(spark, sf)
-    return S.rank_text(i, S.postings(i, STOP), TERMS, 20)
+    i, post, sizes = searchable(spark, sf)
+    return S.rank_text(i, post, TERMS, 20, sizes=sizes)
 
 
 @query("f18_rank_text_filtered", m_sql(ranked_sql(_TERMS, 20, "owner='src1' and received >= date '2024-01-01'"), more=STATS))
 def f18b(spark, sf):
-    i = index(spark, sf)
-    return S.rank_text(i, S.postings(i, STOP), TERMS, 20, where=(F.col("owner") == "src1") & (F.col("received") >= F.lit("2024-01-01").cast("date")))
+    i, post, sizes = searchable(spark, sf)
+    return S.rank_text(i, post, TERMS, 20, sizes=sizes, where=(F.col("owner") == "src1") & (F.col("received") >= F.lit("2024-01-01").cast("date")))
 
 
 @query("f18_rank_text_fuzzy")
 def f18c(spark, sf):
-    i = index(spark, sf)
-    return S.rank_text(i, S.postings(i, STOP), ["ertoin", "oued"], 20, fuzzy=True)
+    i, post, sizes = searchable(spark, sf)
+    return S.rank_text(i, post, ["ertoin", "oued"], 20, fuzzy=True, sizes=sizes)
 
 
 @query("f19_snippet")
@@ -106,8 +115,8 @@ def f19(spark, sf):
 
 @query("p11_search_result_view", m_sql(f"select r.doc, coalesce(subject,'') as subject, coalesce(sender_name,'') as sender_name, owner, r.score from ({ranked_sql(_TERMS, 10)}) r join ix on r.doc=ix.message_key", more=STATS))
 def p11(spark, sf):
-    i = index(spark, sf)
-    return S.search_result_view(S.rank_text(i, S.postings(i, STOP), TERMS, 10), i, "ertion").select("doc", "subject", "sender_name", "owner", "score")
+    i, post, sizes = searchable(spark, sf)
+    return S.search_result_view(S.rank_text(i, post, TERMS, 10, sizes=sizes), i, "ertion").select("doc", "subject", "sender_name", "owner", "score")
 
 
 @query("x3_delete_by_email", m_sql("select mail_id from ix where mail_id not in (select id from m where seq%3=0)", more=INDEX))
@@ -131,11 +140,7 @@ def as_changes(events):
 
 @query("x1_sync_index", duckdb("select id, seq, op, subject from ch qualify row_number() over(partition by id order by seq desc)=1", more=CHANGES))
 def x1(spark, sf):
-    import tempfile
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    path = f"{base}/sync-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "sync")
     events = index_sync.change_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
     stream = index_sync.sync_index(as_changes(events), f"{path}/index", f"{path}/checkpoint")
     stream.awaitTermination()
