@@ -120,9 +120,8 @@ def paired(group: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
         d += 1
 
 
-def spanning(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows a[i] and b[i] as a star for each group of linked rows: (node, smallest linked node), so that a
-    dense group leaves a task as one link a row."""
+def smallest_linked(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each row the smallest node that links between rows a[i] and b[i] lead to, its own included."""
     label = node.copy()
     while True:
         low = np.minimum(label[a], label[b])
@@ -130,8 +129,14 @@ def spanning(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray
         np.minimum.at(new, a, low)
         np.minimum.at(new, b, low)
         if np.array_equal(new, label):
-            break
+            return label
         label = new
+
+
+def spanning(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows a[i] and b[i] as a star for each group of linked rows: (node, smallest linked node), so that a
+    dense group leaves a task as one link a row."""
+    label = smallest_linked(a, b, node)
     touched = np.unique(np.concatenate([a, b]))
     touched = touched[label[touched] != node[touched]]
     return node[touched], label[touched]

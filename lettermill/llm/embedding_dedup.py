@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import blocked, components, group_ids, map_batches, paired, runs, spanning, staged
+from lettermill.llm.common import blocked, components, group_ids, map_batches, paired, runs, smallest_linked, staged
 
 COSINE = 0.95
 BLOCKS = 4
@@ -140,36 +140,82 @@ def _first_common(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sparse(group, unit, filters, own_filter, copies, own, lo, hi, cosine):
+    """Linked pairs of small groups, and each row's links that count here."""
+    other = np.where(filters < 0, -2, filters)
+    links = np.zeros(len(group), dtype=np.int64)
+    left, right = [], []
+    for i, j in paired(group, own, lo, hi):
+        near = np.einsum("nd,nd->n", unit[i], unit[j]) >= cosine
+        i, j = i[near], j[near]
+        if len(i):
+            left.append(i)
+            right.append(j)
+            once = _first_common(filters[i], other[j], own_filter[i])
+            np.add.at(links, i[once], copies[j[once]])
+            np.add.at(links, j[once], copies[i[once]])
+    empty = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or empty), np.concatenate(right or empty), links
+
+
+def _dense(unit, filters, own_filter, copies, across, cosine, node):
+    """The same for one large group, by matrix products: labels, which rows are linked, and links that count here.
+    Of two rows the lists' parts below this filter must not meet, else the pair counts in a smaller filter."""
+    near = unit @ unit.T >= cosine
+    np.fill_diagonal(near, False)
+    if across is not None:
+        near &= across[:, None] != across[None, :]
+    earlier = np.where((filters >= 0) & (filters < own_filter), filters, -1)
+    known, at = np.unique(earlier, return_inverse=True)
+    at = at.reshape(earlier.shape)
+    has = np.zeros((len(filters), len(known)), dtype=np.float32)
+    has[np.arange(len(filters))[:, None], at] = 1
+    has[:, known < 0] = 0
+    # a filter that one row has alone makes no pair
+    has = has[:, has.sum(axis=0) > 1]
+    links = (near & (has @ has.T == 0)) @ copies
+    hit = near.any(axis=1)
+    label = np.where(hit, node, np.iinfo(np.int64).max)
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if np.array_equal(new, label):
+            return label, hit, links
+        label = new
+
+
+#: Groups of more rows are compared by matrix products.
+DENSE_ROWS = 32
+
+
 def _finder(dims: int, cosine: float):
     keys = ["filter", "lo", "hi"]
 
+    def table(node, label, links, hit):
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(label[hit]), pa.array(links[hit])], names=["node", "label", "links"])
+
     def run(batches):
         for t in runs(batches, keys):
             node, copies, own_filter = (t[c].to_numpy() for c in ("node", "copies", "filter"))
             own, lo, hi = (t[c].to_numpy() for c in ("own", "lo", "hi"))
             unit = _unit(_matrix(t["vector"].combine_chunks(), dims))
             lists = t["filters"].to_pylist()
-            width = max(map(len, lists))
-            filters = np.full((len(lists), width), -1, dtype=np.int64)
+            filters = np.full((len(lists), max(map(len, lists))), -1, dtype=np.int64)
             for i, x in enumerate(lists):
                 filters[i, : len(x)] = x
-            other = np.where(filters < 0, -2, filters)
-            links = np.zeros(len(node), dtype=np.int64)
-            left, right = [], []
-            for i, j in paired(group_ids(t, keys), own, lo, hi):
-                near = np.einsum("nd,nd->n", unit[i], unit[j]) >= cosine
-                i, j = i[near], j[near]
-                if len(i):
-                    left.append(i)
-                    right.append(j)
-                    once = _first_common(filters[i], other[j], own_filter[i])
-                    np.add.at(links, i[once], copies[j[once]])
-                    np.add.at(links, j[once], copies[i[once]])
-            if left:
-                a, b = spanning(np.concatenate(left), np.concatenate(right), node)
-                label = dict(zip(a.tolist(), b.tolist(), strict=True))
-                hit = np.unique(np.concatenate([*left, *right]))
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array([label.get(x, x) for x in node[hit].tolist()], pa.int64()), pa.array(links[hit])], names=["node", "label", "links"])
+            group = group_ids(t, keys)
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            sizes = np.diff(np.append(starts, len(group)))
+            for at, n in zip(starts[sizes > DENSE_ROWS].tolist(), sizes[sizes > DENSE_ROWS].tolist(), strict=True):
+                r = slice(at, at + n)
+                label, hit, links = _dense(unit[r], filters[r], own_filter[at], copies[r], None if lo[at] == hi[at] else own[r], cosine, node[r])
+                if hit.any():
+                    yield table(node[r], label, links.astype(np.int64), hit)
+            small = np.flatnonzero(np.repeat(sizes <= DENSE_ROWS, sizes))
+            if len(small):
+                left, right, links = _sparse(group[small], unit[small], filters[small], own_filter[small], copies[small], own[small], lo[small], hi[small], cosine)
+                if len(left):
+                    label = smallest_linked(left, right, node[small])
+                    yield table(node[small], label, links, np.unique(np.concatenate([left, right])))
 
     return run
 
