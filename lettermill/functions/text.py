@@ -228,6 +228,11 @@ def k1_prompt(text: Column) -> Column:
     return F.when(text.rlike(r"\S"), F.concat(F.lit(K1_PROMPT), truncate(text)))
 
 
+# What counts as an image and as a citation in Markdown.
+IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
+CITATION = r"(?<!!)\[(?:\d[\d,\s\-]*|\w[^\[\]]{0,40}(?:,\s*\d{4})?)\]"
+
+
 def md_text_blocks(markdown: Column) -> Column:
     """Blocks between blank lines, trimmed; empty blocks and tables are dropped."""
     blocks = F.transform(F.split(markdown, r"\n{2,}"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
@@ -236,13 +241,12 @@ def md_text_blocks(markdown: Column) -> Column:
 
 def md_figures(markdown: Column) -> Column:
     """Image references: the alternative text, else the source."""
-    pattern = r"!\[([^\]]*)\]\(([^)]+)\)"
-    return F.zip_with(F.regexp_extract_all(markdown, F.lit(pattern), 1), F.regexp_extract_all(markdown, F.lit(pattern), 2), lambda alt, src: F.coalesce(blank_to_null(F.trim(alt)), F.trim(src)))
+    return F.zip_with(F.regexp_extract_all(markdown, F.lit(IMAGE), 1), F.regexp_extract_all(markdown, F.lit(IMAGE), 2), lambda alt, src: F.coalesce(blank_to_null(F.trim(alt)), F.trim(src)))
 
 
 def md_citations(markdown: Column) -> Column:
     """Bracketed citations, once each, in order; not the alternative texts of images."""
-    return F.array_distinct(F.regexp_extract_all(markdown, F.lit(r"(?<!!)\[(?:\d[\d,\s\-]*|\w[^\[\]]{0,40}(?:,\s*\d{4})?)\]"), 0))
+    return F.array_distinct(F.regexp_extract_all(markdown, F.lit(CITATION), 0))
 
 
 def md_tables(markdown: Column) -> Column:
