@@ -42,6 +42,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give a finished task's memory back to the system: Python workers are kept for later tasks of other stages, and what each
+    stage leaves to the allocators would add up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+#: Rows of whole texts that travel to Python at once.
+TEXT_ROWS = 1500
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
     """Arrow batches through a function that each task builds once with make()."""
 
@@ -52,7 +69,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 out = step(batch)
                 if out is not None and out.num_rows:
                     yield out
+        del step
+        release_memory()
 
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(size, "10000")) > TEXT_ROWS:
+        df.sparkSession.conf.set(size, str(TEXT_ROWS))
     return df.mapInArrow(run, schema)
 
 

@@ -44,8 +44,8 @@ COPY_MINIMA = 12
 LONGEST_WORD = 32
 #: At least so many one-letter words in a row are also read as one word.
 SPELT = 4
-CACHE_WORDS = 400_000
-CHARS_AT_ONCE = 2_000_000
+CACHE_WORDS = 250_000
+CHARS_AT_ONCE = 1_000_000
 START, END = 30, 31
 SIZES = {3: 1 << 15, 4: 1 << 20}
 OFFSET = {3: 0, 4: SIZES[3]}
