@@ -87,12 +87,16 @@ def cut_sequences(docs: DataFrame, vocabulary: str | None = None, sequence: int
     return rows.mapInArrow(_cutter(vocabulary or default_vocabulary(), sequence, end_id), "part long, place long, doc_id long, start long, length int, ids binary")
 
 
-def _slots(n: int, key: int):
+def _slots(n: int, key: int, shared):
+    """shared: the first number of each part, eight bytes a task of the cutting pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = shared.value
         for batch in batches:
-            number = batch.column(batch.schema.get_field_index("number")).to_numpy()
-            kept = [c for c in batch.schema.names if c != "number"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(feistel(number, n, key))], names=[*kept, "slot"])
+            get = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            number = first[get["part"].to_numpy()] + get["place"].to_numpy()
+            kept = ["doc_id", "start", "length", "ids"]
+            yield pa.RecordBatch.from_arrays([*(get[c] for c in kept), pa.array(feistel(number, n, key))], names=[*kept, "slot"])
 
     return run
 
@@ -159,18 +163,15 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, sequ
     """Write the sequences of all documents to shards in training order; the manifest (shard, name, records) is returned,
     already written. Each slot from 0 to the number of sequences less one is taken once. The first numbers of the tasks'
     parts come from a count a part. An empty table writes no shard."""
-    pieces = staged(cut_sequences(docs, vocabulary, sequence), "sequences")
-    parts = pieces.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    n = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    firsts: list[tuple[int, int]] = []
-    at = 0
-    for r in parts.orderBy("part").collect():  # a row an input split
-        firsts.append((r["part"], at))
-        at += r["n"]
-    spark = docs.sparkSession
-    starts = spark.createDataFrame(firsts, "part long, first long")
-    numbered = pieces.join(starts, "part").select("doc_id", "start", "length", "ids", (F.col("first") + F.col("place")).alias("number"))
-    placed = numbered.mapInArrow(_slots(max(n, 1), key), "doc_id long, start long, length int, ids binary, slot long")
+    pieces = staged(cut_sequences(docs, vocabulary, sequence), "sequences", "zstd")
+    parts = pieces.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row an input split
+    first = np.zeros(max((r["part"] for r in parts), default=0) + 1, dtype=np.int64)
+    n = 0
+    for r in parts:
+        first[r["part"]] = n
+        n += r["n"]
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+    placed = pieces.mapInArrow(_slots(max(n, 1), key, shared), "doc_id long, start long, length int, ids binary, slot long")
     shards = max(1, -(-n // shard_records))
     dealt = placed.withColumn("shard", F.floor(F.col("slot") / F.lit(shard_records))).repartition(min(shards, 100_000), "shard").sortWithinPartitions("slot")
     return staged(dealt.drop("shard").mapInArrow(_writer(path, sequence, shard_records), "shard long, name string, records long"), "manifest")
