@@ -26,8 +26,15 @@ CLASSES = {
     "entropy_hex": (r"[0-9a-fA-F]{24,}", "0123456789abcdef", 24, 3.2),
     "entropy_base64": (r"[A-Za-z0-9+/_=-]{24,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0),
 }
-#: Candidates that hold one of these are no secrets: counting and keyboard rows, placeholders, paths of words.
-ALLOWED = r"(?i)example|placeholder|changeme|dummy|lorem|0123456789|abcdefgh|qwertyuiop|x{8}|(?:[a-z]{3,}[/_=-]){3}"
+#: Counting and keyboard rows and placeholders: a candidate, or a part of one that is cut, with one of these is no secret.
+PLACEHOLDERS = r"(?i)example|placeholder|changeme|dummy|lorem|0123456789|abcdefgh|qwertyuiop|x{8}"
+#: Candidates that hold one of these, or a path of words, are cut before they are scored.
+ALLOWED = PLACEHOLDERS + r"|(?:[a-z]{3,}[/_=-]){3}"
+#: Where they are cut: at whole words (lower, upper or camel case) with the separators that follow, and at '=' before other
+#: signs. With a placeholder only two or more words at the front are, so that it still stands for what surrounds it.
+_WORD = r"(?=[A-Za-z]{3})(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)[/_=-]+"
+CUTS = r"(?<![A-Za-z0-9+])" + _WORD + r"|=+(?=[^=])"
+FRONT_CUTS = r"^[/_=-]*(?:" + _WORD + r"){2,}|=+(?=[^=])"
 OPEN, CLOSE = "\x01", "\x02"
 
 
@@ -88,11 +95,23 @@ def _entropy_window(value: Column, alphabet: str, window: int, least: float) ->
     return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), zero, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _parts(s: Column) -> Column:
+    """Array of (start, value): what is left of an allow-listed candidate between its cuts, if without placeholders."""
+    words = F.when(s["value"].rlike(PLACEHOLDERS), _spans(s["value"], FRONT_CUTS, "cut")).otherwise(_spans(s["value"], CUTS, "cut"))
+    starts = F.concat(F.array(F.lit(0)), F.transform(words, lambda w: w["end"]))
+    ends = F.concat(F.transform(words, lambda w: w["start"]), F.array(F.char_length(s["value"])))
+    parts = F.zip_with(starts, ends, lambda a, b: F.struct((s["start"] + a).alias("start"), F.substring(s["value"], a + 1, b - a).alias("value")))
+    return F.filter(parts, lambda x: ~x["value"].rlike(PLACEHOLDERS))
+
+
 def _entropy_spans(text: Column, kind: str) -> Column:
     """Spans of the windows of high entropy in the candidates of a class: from the first such window's start to the last one's
-    end. Candidates of prose (no digit, or no letter) and allow-listed ones have none."""
+    end. Candidates of prose (no digit, or no letter) have none; of allow-listed ones the parts between words are scored."""
     pattern, alphabet, window, least = CLASSES[kind]
-    found = F.filter(_spans(text, pattern, kind), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~s["value"].rlike(ALLOWED))
+    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+    whole = lambda s: F.array(F.struct(s["start"].alias("start"), s["value"].alias("value")))
+    found = F.transform(F.filter(_spans(text, pattern, kind), mixed), lambda s: F.when(s["value"].rlike(ALLOWED), _parts(s)).otherwise(whole(s)))
+    found = F.filter(F.flatten(found), lambda s: mixed(s) & (F.char_length(s["value"]) >= window))
     value = (lambda s: F.lower(s["value"])) if kind == "entropy_hex" else (lambda s: s["value"])
     scored = F.transform(found, lambda s: F.struct(s.alias("s"), _entropy_window(value(s), alphabet, window, least).alias("w")))
     return F.transform(
