@@ -78,10 +78,11 @@ def _base32(sha1_hex):
     return F.concat(*groups)
 
 
-def headers(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(row, page_id, digest, size): row numbers the rows of this scan."""
-    payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    return pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.lower(F.sha1(payload)).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
+def numbered(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """(row, page_id, url, html, sha1, size), written once: row numbers the rows, and each later scan reads the same numbers."""
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    return staged(rows.withColumns({"sha1": F.lower(F.sha1(payload)), "size": F.octet_length(payload).cast("long")}), "numbered")
 
 
 def resolve(head: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -140,13 +141,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     """Write one record for each row of pages; the manifest (name, records) is returned, already written.
 
     The payload is the text in UTF-8; a null one is empty. Repeated rows and page ids each have a record; other columns are
-    ignored; an empty table writes no archive. The revisit records' headers are written first, so the join that brings them
-    to the pages knows their size: Spark sends them to all tasks when they are few and sorts both sides when they are not.
+    ignored; an empty table writes no archive. The numbered pages are written before anything else, so that revisits and pages
+    have the same numbers whatever order a scan of pages gives. The revisit records' headers are written next, so the join that
+    brings them to the pages knows their size: Spark sends them to all tasks when they are few and sorts both sides when not.
     """
-    gone = staged(resolve(headers(pages, id_col, payload_col), least_bytes), "revisits")
-    html = F.col(payload_col)
-    payload = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.lower(F.sha1(payload)).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
+    rows = numbered(pages, id_col, url_col, payload_col)
+    gone = staged(resolve(rows.select("row", "page_id", "sha1", "size"), least_bytes), "revisits")
     told = rows.join(gone, "row", "left")
     slim = told.select("row", "page_id", "url", F.when(F.col("response_row").isNull(), F.col("html")).alias("html"), _base32(F.col("sha1")).alias("digest"), "size", "response_row", "response_page")
     return staged(slim.mapInArrow(_writer(path, archive_bytes), "name string, records long"), "archives")
