@@ -27,15 +27,19 @@ SALTS = 64
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
-def load_encoder(path: str):
+#: The added token of the tokenizers file, which its plain call recognises in texts.
+CONTROL = {"<|endoftext|>": 50256}
+
+
+def load_encoder(path: str, control: bool = False):
     """A byte-level BPE encoder from a file of ranks (base64 token, rank): the same ids as the tokenizers file of that
-    vocabulary, control strings in texts taken as ordinary text."""
+    vocabulary. Control strings in texts are ordinary text; with `control` they can be allowed as tokens of their own."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=CONTROL if control else {})
 
 
 def default_vocabulary() -> str:
@@ -44,15 +48,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _cutter(vocabulary: str, max_tokens: int, end_id: int):
+def _cutter(vocabulary: str, max_tokens: int, end_id: int, control: bool):
     def make():
-        encode = load_encoder(vocabulary).encode_to_numpy
+        encode, allowed = load_encoder(vocabulary, control).encode_to_numpy, set(CONTROL) if control else set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             docs, texts = batch.column(0), batch.column(1)
             out: list[list] = [[], [], [], [], []]
             for i in range(len(texts)):
-                ids = np.append(encode(texts[i].as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(texts[i].as_py() or "", allowed_special=allowed, disallowed_special=()), end_id).astype("<u4")
                 for start in range(0, len(ids), max_tokens):
                     part = ids[start : start + max_tokens]
                     for column, value in zip(out, (docs[i].as_py(), start, len(part), part.tobytes(), len(ids)), strict=True):
@@ -65,11 +69,12 @@ def _cutter(vocabulary: str, max_tokens: int, end_id: int):
     return make
 
 
-def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", control: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens): a document's ids and end_id, cut after every max_tokens ids; ids are
-    little-endian unsigned 32-bit numbers. A null text is empty and gives the end_id alone. Null and repeated ids stay."""
+    little-endian unsigned 32-bit numbers. A null text is empty and gives the end_id alone. Null and repeated ids stay. With `control`,
+    <|endoftext|> in a text is its one id, as in the plain call of tokenizers; else it is ordinary text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, _cutter(vocabulary or default_vocabulary(), max_tokens, end_id), PIECES)
+    return map_batches(rows, _cutter(vocabulary or default_vocabulary(), max_tokens, end_id, control), PIECES)
 
 
 def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[int, ...], int]]:
@@ -195,10 +200,10 @@ def _ranker(shared):
     return make
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, keep_ids: bool = True, control: bool = False) -> DataFrame:
     """Documents cut and packed: (doc_id, start, length, ids, doc_tokens, sequence_id, offset). With keep_ids False the
-    column ids_crc32 (CRC-32 of the piece's ids) takes the place of ids, so that no token travels through a shuffle."""
-    pieces = cut_documents(docs, vocabulary, max_tokens)
+    column ids_crc32 (CRC-32 of the piece's ids) takes the place of ids, so that no token travels through a shuffle. `control` as in cut_documents."""
+    pieces = cut_documents(docs, vocabulary, max_tokens, control=control)
     if not keep_ids:
         pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack(staged(pieces, "pieces"), max_tokens)

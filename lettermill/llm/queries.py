@@ -36,12 +36,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_ids=False, control=True).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as fixed-stride shards in training order, read back from the shards."""
-    out = token_output.materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = token_output.materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), control=True)
     return out.select("doc_id", "start", "length", "slot", "shard", F.crc32("ids").alias("ids_crc32"))
 
 

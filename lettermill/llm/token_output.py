@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm.common import fresh_path, staged
-from lettermill.llm.packing import default_vocabulary, load_encoder
+from lettermill.llm.packing import CONTROL, default_vocabulary, load_encoder
 
 SEQUENCE = 512
 END_ID = 1
@@ -56,14 +56,14 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _cutter(vocabulary: str, sequence: int, end_id: int):
+def _cutter(vocabulary: str, sequence: int, end_id: int, control: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(vocabulary).encode_to_numpy
+        encode, allowed = load_encoder(vocabulary, control).encode_to_numpy, set(CONTROL) if control else set()
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or "", disallowed_special=()), end_id)
+                ids = np.append(encode(text.as_py() or "", allowed_special=allowed, disallowed_special=()), end_id)
                 if ids.max() > 0xFFFF:
                     raise ValueError("16-bit records hold ids below 65536 only")
                 ids = ids.astype("<u2")
@@ -80,11 +80,12 @@ def _cutter(vocabulary: str, sequence: int, end_id: int):
     return run
 
 
-def cut_sequences(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_sequences(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", control: bool = False) -> DataFrame:
     """(part, place, doc_id, start, length, ids): a document's ids and end_id in sequences; place counts within the task part.
-    Must be written before use, since part and place hold for one run only. Null texts are empty, null ids stay null."""
+    Must be written before use, since part and place hold for one run only. Null texts are empty, null ids stay null.
+    `control` as in packing.cut_documents."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cutter(vocabulary or default_vocabulary(), sequence, end_id), "part long, place long, doc_id long, start long, length int, ids binary")
+    return rows.mapInArrow(_cutter(vocabulary or default_vocabulary(), sequence, end_id, control), "part long, place long, doc_id long, start long, length int, ids binary")
 
 
 def _slots(n: int, key: int, shared):
@@ -159,11 +160,11 @@ def _manifest(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["shard", "name", "records"])
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY, control: bool = False) -> DataFrame:
     """Write the sequences of all documents to shards in training order; the manifest (shard, name, records) is returned,
     already written. Each slot from 0 to the number of sequences less one is taken once. The first numbers of the tasks'
     parts come from a count a part. An empty table writes no shard."""
-    pieces = staged(cut_sequences(docs, vocabulary, sequence), "sequences", "zstd")
+    pieces = staged(cut_sequences(docs, vocabulary, sequence, control=control), "sequences", "zstd")
     parts = pieces.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row an input split
     first = np.zeros(max((r["part"] for r in parts), default=0) + 1, dtype=np.int64)
     n = 0
@@ -200,10 +201,10 @@ def read_shards(spark: SparkSession, path: str, sequence: int = SEQUENCE, first_
     return files.where(number >= first_shard).select("content").mapInArrow(_reader(sequence), "doc_id long, start long, length long, slot long, ids binary")
 
 
-def materialise(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY) -> DataFrame:
+def materialise(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY, control: bool = False) -> DataFrame:
     """Write shards to a new folder of the shared one and read them back as (doc_id, start, length, slot, shard, ids)."""
     spark = docs.sparkSession
     path = fresh_path(spark, "shards")
-    if not write_shards(docs, path, vocabulary, sequence, shard_records, key).take(1):
+    if not write_shards(docs, path, vocabulary, sequence, shard_records, key, control).take(1):
         return spark.createDataFrame([], "doc_id long, start long, length long, slot long, shard long, ids binary")
     return read_shards(spark, path, sequence).withColumn("shard", F.floor(F.col("slot") / F.lit(shard_records)).cast("long"))
