@@ -86,17 +86,22 @@ def blocked(rows: DataFrame, bucket: list[str], member: Column, block_rows: int
     is hot, and every larger bucket becomes a triangle of block pairs, so no bucket is ever gathered in one task.
     """
     sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    many = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
-    dealt = (
-        rows.join(sizes, bucket)
-        .withColumn("own", F.when(F.col("_n") <= block_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64(member), many).cast("int")))
+    return dealt(rows.join(sizes, bucket), bucket, member, "_n", block_rows)
+
+
+def dealt(rows: DataFrame, bucket: list[str], member: Column, size_col: str, block_rows: int | None = None) -> DataFrame:
+    """blocked() of rows that already have their bucket's size in size_col, which is dropped."""
+    block_rows = BLOCK_ROWS if block_rows is None else block_rows
+    many = F.ceil(F.col(size_col) / F.lit(block_rows)).cast("int")
+    out = (
+        rows.withColumn("own", F.when(F.col(size_col) <= block_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64(member), many).cast("int")))
         .withColumn("_x", F.explode(F.sequence(F.lit(0), many - 1)))
         .withColumn("lo", F.least("own", "_x"))
         .withColumn("hi", F.greatest("own", "_x"))
-        .drop("_n", "_x")
+        .drop(size_col, "_x")
     )
     keys = [*bucket, "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return out.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -239,11 +239,13 @@ def test_embeddings_against_brute_force(spark):
     v = np.concatenate([x, near, hot, np.repeat(x[7:8], 50, axis=0)]).astype(np.float32)
     rows = [(i, [float(c) for c in r], 1) for i, r in enumerate(v)]
     rows += [(9001, None, 1), (9002, [0.0] * 64, 1), (9003, [float("nan")] * 64, 1), (9004, [None] * 64, 1), (9005, [], 1), (None, [1.0] + [0.0] * 63, 1), (9006, [1e-200] * 64, 0), (9007, [1.0] * 64, 0)]
-    old, embedding_dedup.blocked.__defaults__ = embedding_dedup.blocked.__defaults__, (64,)
+    from lettermill.llm import common
+
+    old, common.BLOCK_ROWS = common.BLOCK_ROWS, 64
     try:
         got = {r["id"]: r for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, links int")).collect()}
     finally:
-        embedding_dedup.blocked.__defaults__ = old
+        common.BLOCK_ROWS = old
     u = v.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     links = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
