@@ -2,44 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lettermill.sources.stored import discard, fresh_path, written
+
 #: Rows of one bucket that one task compares with each other at once; larger buckets are cut into blocks of this size.
 BLOCK_ROWS = 1024
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a new local one for
-    this application."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='lettermill-')}"
-        _own_dirs[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+#: Rows of whole texts that travel to Python at once while a table is staged; batches also end at Spark's own limit of bytes.
+TEXT_ROWS = 1500
 
 
 def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+    discard() deletes it when nothing reads it any more. The session's settings are as before afterwards."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name, None)
+    few = before is None or not 0 < int(before) <= TEXT_ROWS
+    if few:
+        conf.set(name, str(TEXT_ROWS))
+    try:
+        return written(df, fresh_path(df.sparkSession, label), codec)
+    finally:
+        if few:
+            conf.unset(name) if before is None else conf.set(name, before)
 
 
 def release_memory() -> None:
@@ -55,10 +48,6 @@ def release_memory() -> None:
         trim(0)
 
 
-#: Rows of whole texts that travel to Python at once.
-TEXT_ROWS = 1500
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
     """Arrow batches through a function that each task builds once with make()."""
 
@@ -72,9 +61,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         del step
         release_memory()
 
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(size, "10000")) > TEXT_ROWS:
-        df.sparkSession.conf.set(size, str(TEXT_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -181,7 +167,7 @@ def components(links: DataFrame) -> DataFrame:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or mark[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
+        before, old = mark, edges
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
@@ -189,6 +175,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        discard(old, large)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, rows: dict[int, int], chars: dict[int, int]) -> tuple[list[str], list[int]]:
@@ -210,6 +197,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: s
             if r["n"] <= left:
                 left -= r["n"]
                 chosen.append((r["id"], y))
+    discard(pool)
     if not chosen:
         return [], []
     ids = docs.sparkSession.createDataFrame(chosen, "id long, y int")

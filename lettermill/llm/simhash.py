@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import blocked, components, group_ids, map_batches, paired, runs, spanning, staged
+from lettermill.llm.common import blocked, components, discard, group_ids, map_batches, paired, runs, spanning, staged
 
 BITS = 3
 SHINGLE = 3
@@ -130,7 +130,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("node")), "classes")
     roots = components(link_fingerprints(classes.where("node is not null"), bits))
     named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(staged(named, "named"), "fp").select("id", "fp", "component_id")
+    named = staged(named, "named")
+    discard(classes)
+    return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
