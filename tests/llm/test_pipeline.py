@@ -1,7 +1,8 @@
 """The corpus pipeline against its stages done plainly."""
 
-from lettermill.llm import decontam, simhash, toxicity
-from tests.llm.test_operators import plain_fingerprint, plain_overlap, roots
+from lettermill.llm import decontam, toxicity
+from tests.llm.test_near_copies import shingle_set, similar
+from tests.llm.test_operators import plain_overlap, roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +21,9 @@ def test_stages(spark, tmp_path):
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), corpus_pipeline._rest(4) != 2)
     scores = {r["id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
     assert set(rows[1]) == {i for i, s in scores.items() if s < 0.3}
-    prints = {i: plain_fingerprint(r["text"]) for i, r in rows[1].items()}
-    groups = roots(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.BITS])
+    # the stage's own contract, five words and a similarity of 0.8; op7's three bits bind its query only
+    sets = {i: shingle_set(r["text"]) for i, r in rows[1].items()}
+    groups = roots(sets, [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])])
     assert set(rows[2]) == set(groups.values())
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     known = {}
