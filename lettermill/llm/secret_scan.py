@@ -2,8 +2,9 @@
 
 Positions come from marking: a regular-expression replacement puts one sign before and one after each match, the marked
 text is split at the signs, and the lengths of the pieces add up to code-point positions. Candidates of a character class
-(hexadecimal, base64) slide a window over their characters; an aggregate keeps the count of each character in the window
-and the sum of n * log2(n) over them, both changed by the character that enters and the one that leaves.
+(hexadecimal, base64) slide a window over their characters; an aggregate keeps the count of each character in the window,
+five bits each in a few long numbers, and the sum of n * log2(n) over them, both changed by the character that enters and the
+one that leaves. Each step costs the same, so a candidate costs in proportion to its length.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ PLACEHOLDERS = r"(?i)example|placeholder|changeme|dummy|lorem|0123456789|abcdefg
 ALLOWED = PLACEHOLDERS + r"|(?:[a-z]{3,}[/_=-]){3}"
 #: Where they are cut: at whole words (lower, upper or camel case) with the separators that follow, and at '=' before other
 #: signs. With a placeholder only two or more words at the front are, so that it still stands for what surrounds it.
-_WORD = r"(?=[A-Za-z]{3})(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)[/_=-]+"
+_WORD = r"(?=[A-Za-z]{3})(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*+)[/_=-]+"
 CUTS = r"(?<![A-Za-z0-9+])" + _WORD + r"|=+(?=[^=])"
 FRONT_CUTS = r"^[/_=-]*(?:" + _WORD + r"){2,}|=+(?=[^=])"
 OPEN, CLOSE = "\x01", "\x02"
@@ -45,54 +46,59 @@ def _pieces(text: Column, pattern: str) -> Column:
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, end, kind, value) of all matches, code points, end exclusive."""
-    pieces = _pieces(text, pattern)
 
     def one(acc: Column, piece: Column) -> Column:
         value = F.substring_index(piece, CLOSE, 1)
         start = acc["at"]
-        return F.struct(
-            (start + F.char_length(piece) - 1).cast("int").alias("at"),
-            F.concat(acc["found"], F.array(F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value")))).alias("found"),
-        )
+        span = F.array(F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value")))
+        # the first piece, before any match, has no span
+        return F.struct((F.greatest(start, F.lit(0)) + F.char_length(piece) - F.when(start < 0, 0).otherwise(1)).cast("int").alias("at"), F.when(start < 0, acc["found"]).otherwise(F.concat(acc["found"], span)).alias("found"))
 
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,value:string>>")
-    begin = F.struct(F.char_length(pieces[0]).cast("int").alias("at"), empty.alias("found"))
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), begin, one, lambda acc: acc["found"])
+    return F.aggregate(_pieces(text, pattern), F.struct(F.lit(-1).alias("at"), empty.alias("found")), one, lambda acc: acc["found"])
+
+
+#: Bits of a character's count, and characters whose counts one long holds.
+COUNT_BITS, COUNTS_A_LONG = 5, 12
 
 
 def _entropy_window(value: Column, alphabet: str, window: int, least: float) -> Column:
     """(first, last): starts of the first and the last window of `value` with `least` bits a character; first is -1 without one.
 
-    counts[c] is how often character c stands in the window, total the sum of counts * log2(counts); H = log2(w) - total / w.
+    The longs n0, n1, .. hold how often each character stands in the window, total the sum of counts * log2(counts);
+    H = log2(w) - total / w. The window, its counts below 2 ** COUNT_BITS, is at most 31 characters.
     """
-    at = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, 1))
+    longs = range(-(-len(alphabet) // COUNTS_A_LONG))
     weight = F.array(*[F.lit(0.0)] + [F.lit(float(n * math.log2(n))) for n in range(1, window + 2)])
-    limit = F.log2(F.lit(float(window))) - F.lit(least)
-
-    def slide(acc: Column, i: Column) -> Column:
-        new = at(i)
-        old = F.when(i > window, at(i - window)).otherwise(F.lit(0))
-        n_in = F.element_at(acc["counts"], F.greatest(new, F.lit(1)))
-        grown = F.transform(acc["counts"], lambda n, k: n + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0))
-        n_out = F.when(old > 0, F.element_at(acc["counts"], F.greatest(old, F.lit(1)))).otherwise(F.lit(0))
-        stays = old == new
-        total = (
-            acc["total"]
-            + F.when(stays, F.lit(0.0)).otherwise(
-                F.element_at(weight, n_in + 2) - F.element_at(weight, n_in + 1) + F.when(old > 0, F.element_at(weight, F.greatest(n_out, F.lit(1))) - F.element_at(weight, n_out + 1)).otherwise(F.lit(0.0))
-            )
-        )
-        hit = (i >= window) & (F.round(total / window, 9) <= F.round(limit, 9))
-        start = i - window
-        return F.struct(
-            grown.alias("counts"),
-            total.alias("total"),
-            F.when(hit & (acc["first"] < 0), start).otherwise(acc["first"]).cast("int").alias("first"),
-            F.when(hit, start).otherwise(acc["last"]).cast("int").alias("last"),
-        )
-
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).cast("double").alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), zero, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    limit = F.round(F.log2(F.lit(float(window))) - F.lit(least), 9)
+    # for each character the long and the place in it of its count; -1 where no character leaves yet
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    leaving = F.concat(F.array_repeat(F.lit(-1), window), codes)
+    places = F.arrays_zip(codes.alias("new"), F.slice(leaving, 1, F.char_length(value)).alias("old"))
+    step = lambda c, name: [F.floor(c / COUNTS_A_LONG).cast("int").alias(f"{name}_long"), (F.pmod(c, F.lit(COUNTS_A_LONG)) * COUNT_BITS).cast("int").alias(f"{name}_shift")]
+    steps = F.transform(places, lambda p: F.struct(*step(p["new"], "in"), *step(p["old"], "out"), (p["new"] == p["old"]).alias("same")))
+
+    def count(acc: Column, s: Column, name: str) -> Column:
+        long = F.lit(0).cast("long")
+        for k in longs:
+            long = F.when(s[f"{name}_long"] == k, acc[f"n{k}"]).otherwise(long)
+        return F.call_function("shiftright", long, s[f"{name}_shift"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+    def slide(acc: Column, s: Column) -> Column:
+        one = lambda name, k: F.when(s[f"{name}_long"] == k, F.call_function("shiftleft", F.lit(1).cast("long"), s[f"{name}_shift"])).otherwise(F.lit(0).cast("long"))
+        counts = [(acc[f"n{k}"] + one("in", k) - one("out", k)).alias(f"n{k}") for k in longs]
+        n_in, n_out = count(acc, s, "in"), count(acc, s, "out")
+        change = F.element_at(weight, n_in + 2) - F.element_at(weight, n_in + 1) + F.when(s["out_long"] >= 0, F.element_at(weight, F.greatest(n_out, F.lit(1))) - F.element_at(weight, n_out + 1)).otherwise(F.lit(0.0))
+        return F.struct(*counts, (acc["total"] + F.when(s["same"], F.lit(0.0)).otherwise(change)).alias("total"), (acc["i"] + 1).alias("i"), *ends(acc))
+
+    def ends(acc: Column) -> list[Column]:
+        """first and last, the window before this step counted too."""
+        hit = (acc["i"] >= window) & (F.round(acc["total"] / window, 9) <= limit)
+        start = acc["i"] - window
+        return [F.when(hit & (acc["first"] < 0), start).otherwise(acc["first"]).cast("int").alias("first"), F.when(hit, start).otherwise(acc["last"]).cast("int").alias("last")]
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"n{k}") for k in longs], F.lit(0.0).cast("double").alias("total"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.aggregate(steps, zero, slide, lambda acc: F.struct(*ends(acc)))
 
 
 def _parts(s: Column) -> Column:
