@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import fresh_path, staged
+from lettermill.llm.common import discard, fresh_path, staged
 from lettermill.llm.token_output import _open
 
-#: Bytes of payload after which a task begins a new archive, and the compression level of its members.
+#: Bytes of an archive, headers included, after which a task begins a new one, and the compression level of its members.
 ARCHIVE_BYTES = 64 << 20
+#: Bytes that the reader unpacks at once.
+READ_BYTES = 1 << 13
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,12 +52,23 @@ def write_record(page: int | None, row: int, url: str | None, digest: str, size:
     return gzip.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
+def _members(raw: bytes) -> Iterator[bytes]:
+    """Each gzip member of an archive, unpacked. Bytes go in a few at a time, so what a member leaves over is small."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        stream, parts = zlib.decompressobj(31), []
+        while not stream.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            piece = view[at : at + READ_BYTES]
+            parts.append(stream.decompress(piece))
+            at += len(piece) - len(stream.unused_data)
+        yield b"".join(parts)
+
+
 def read_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each member of an archive."""
-    while raw:
-        stream = zlib.decompressobj(31)
-        data = stream.decompress(raw) + stream.flush()
-        raw = stream.unused_data
+    for data in _members(raw):
         head, _, rest = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -123,8 +136,9 @@ def _writer(path: str, archive_bytes: int):
                     name = f"pages-{part:06d}-{number:04d}.warc.gz"
                     own = f"{base}/.{name}.{uuid.uuid4().hex}"
                     out, size, count = where.open_output_stream(own, compression=None), 0, 0
-                out.write(write_record(value["page_id"], value["row"], value["url"], value["digest"], value["size"], payload, (value["response_row"], value["response_page"]) if revisit else None))
-                size += len(payload or b"")
+                written = write_record(value["page_id"], value["row"], value["url"], value["digest"], value["size"], payload, (value["response_row"], value["response_page"]) if revisit else None)
+                out.write(written)
+                size += len(written)
                 count += 1
                 if size >= archive_bytes:
                     done += close()
@@ -149,7 +163,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     gone = staged(resolve(rows.select("row", "page_id", "sha1", "size"), least_bytes), "revisits")
     told = rows.join(gone, "row", "left")
     slim = told.select("row", "page_id", "url", F.when(F.col("response_row").isNull(), F.col("html")).alias("html"), _base32(F.col("sha1")).alias("digest"), "size", "response_row", "response_page")
-    return staged(slim.mapInArrow(_writer(path, archive_bytes), "name string, records long"), "archives")
+    out = staged(slim.mapInArrow(_writer(path, archive_bytes), "name string, records long"), "archives")
+    discard(rows, gone)
+    return out
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
