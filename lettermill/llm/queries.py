@@ -42,7 +42,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as fixed-stride shards in training order, read back from the shards."""
     out = token_output.materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), control=True)
-    return out.select("doc_id", "start", "length", "slot", "shard", F.crc32("ids").alias("ids_crc32"))
+    return out.select("doc_id", "start", "length", "slot", "offset", "shard", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,28 +202,62 @@ def test_plan_uses_every_piece_once():
     assert used == histogram and len(patterns) < 5000
 
 
-def test_token_shards(spark):
-    rows = queries.op4_token_output(spark, SF).collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    by = defaultdict(dict)
-    for r in rows:
-        by[r["doc_id"]][r["start"]] = (r["length"], r["ids_crc32"])
-        assert r["shard"] == r["slot"] // token_output.SHARD_RECORDS
+def check_shards(rows, docs, sequence):
+    """Each document's ids once and in order, each sequence gapless, and full but for one of each task."""
     encode = packing.load_encoder(packing.default_vocabulary()).encode_ordinary
-    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        ids = np.array([*encode(d["text"] or ""), 1], dtype="<u4")
-        n = token_output.SEQUENCE
-        assert by[d["doc_id"]] == {k: (len(ids[k : k + n]), zlib.crc32(ids[k : k + n].tobytes())) for k in range(0, len(ids), n)}
-    assert [r["slot"] for r in rows] != sorted(range(len(rows)), key=lambda k: rows[k]["doc_id"])
+    by, slots = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+        slots[r["slot"]].append((r["offset"], r["length"]))
+    assert set(by) == set(docs)
+    for i, text in docs.items():
+        ids, at = np.array([*encode(text or ""), 1], dtype="<u4"), 0
+        for r in sorted(by[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert sorted(slots) == list(range(len(slots)))
+    filled = []
+    for parts in slots.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        filled.append(at)
+    assert max(filled) <= sequence
+    return sum(n < sequence for n in filled)
 
 
-def test_token_shards_edges_and_resume(spark, tmp_path):
-    docs = docs_of(spark, EDGES)
-    manifest = token_output.write_shards(docs, str(tmp_path / "out"), sequence=64, shard_records=10)
-    assert manifest.agg(F.sum("records")).first()[0] == token_output.read_shards(spark, str(tmp_path / "out"), 64).count()
-    rest = token_output.read_shards(spark, str(tmp_path / "out"), 64, first_shard=3)
-    assert rest.agg(F.min("slot")).first()[0] == 30
-    assert rest.where("doc_id is null").count() <= 1 and token_output.materialise(docs_of(spark, [])).count() == 0
+def test_token_shards(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = queries.op4_token_output(spark, SF).collect()
+    assert all(r["shard"] == r["slot"] // token_output.SHARD_RECORDS for r in rows)
+    assert check_shards(rows, {d["doc_id"]: d["text"] for d in docs.collect()}, token_output.SEQUENCE) <= docs.rdd.getNumPartitions()
+    # neighbours in a document are no neighbours in the training order
+    slots = [r["slot"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"]))]
+    assert np.mean(np.abs(np.diff(slots)) > 1) > 0.3
+
+
+@pytest.mark.parametrize("sequence, shard_records", [(64, 10), (7, 1000), (512, 3)])
+def test_token_shards_edges_and_resume(spark, tmp_path, sequence, shard_records):
+    path = str(tmp_path / "out")
+    texts = {i: t for i, t in EDGES} | {8: "a" * 300_000, 9: None, 10: "end"}
+    manifest = token_output.write_shards(docs_of(spark, texts.items()).repartition(3), path, sequence=sequence, shard_records=shard_records)
+    read = token_output.read_shards(spark, path).withColumn("ids_crc32", F.crc32("ids")).cache()
+    rows = read.collect()
+    assert check_shards(rows, texts, sequence) <= 3
+    n = manifest.agg(F.sum("records")).first()[0]
+    assert n == max(r["slot"] for r in rows) + 1 and sorted(r["shard"] for r in manifest.collect()) == list(range(-(-n // shard_records)))
+    for first in (0, 1, shard_records - 1, shard_records, n - 1, n, n + 5):
+        rest = token_output.read_shards(spark, path, first_slot=first).withColumn("ids_crc32", F.crc32("ids")).collect()
+        assert sorted(rest, key=str) == sorted((r for r in rows if r["slot"] >= first), key=str)
+    read.unpersist()
+
+
+def test_token_shards_of_nothing(spark):
+    assert token_output.materialise(docs_of(spark, [])).count() == 0
+    both = token_output.materialise(docs_of(spark, [(3, "one"), (3, "one"), (None, "x")])).collect()
+    assert len(both) == 3 and sum(r["doc_id"] is None for r in both) == 1
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
@@ -386,7 +420,7 @@ def plain_overlap(doc, item):
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    items = {i: [word() for _ in range(rng.choice([4, 6, 9, 12, 15, 30, 60]))] for i in range(30)}
+    items = {i: [word() for _ in range(rng.choice([1, 2, 4, 5, 6, 9, 12, 15, 30, 60]))] for i in range(30)}
     docs, planted = {}, {}
     for k in range(120):
         words = [word() for _ in range(rng.randint(0, 200))]
@@ -403,11 +437,10 @@ def test_decontamination_against_brute_force(spark):
     bench = spark.createDataFrame([(i, " ".join(w), "q") for i, w in items.items()] + [(99, None, "q"), (98, "", "q")], "item_id long, text string, doc_id string")
     got = {r["id"]: r["item_ids"] for r in decontam.flagged(docs_of(spark, [*docs.items(), (-1, None), (None, " ".join(items[3]))]), bench).collect()}
     want = {k: [i for i, w in items.items() if plain_overlap(t, " ".join(w))] for k, t in docs.items()}
-    usable = {i for i, w in items.items() if len(w) >= 5}
-    missed = sum(i not in got[k] for k in docs for i in want[k] if i in usable)
+    missed = sum(i not in got[k] for k in docs for i in want[k])
     assert all(set(got[k]) <= set(want[k]) for k in docs) and missed <= 0.02 * sum(map(len, want.values()))
-    assert sum(i in got[k] for k, i in planted.items() if i in usable) >= 0.97 * sum(i in usable for i in planted.values())
-    assert got[-1] == [] and got[None] == ([3] if 3 in usable else [])
+    assert sum(i in got[k] for k, i in planted.items()) >= 0.97 * len(planted)
+    assert got[-1] == [] and got[None] == [3]
     cleaned = decontam.clean(docs_of(spark, [*docs.items(), (-1, None)]), bench)
     assert {r["doc_id"] for r in cleaned.collect()} == {k for k in [*docs, -1] if not got[k]}
     assert decontam.flagged(docs_of(spark, []), bench).count() == 0
@@ -415,10 +448,47 @@ def test_decontamination_against_brute_force(spark):
 
 
 def test_masks_find_substituted_stretches():
-    """Any 12 words with at most two substitutions have a place where one of the masks fits."""
+    """Any 12 words with at most two substitutions have a place where one of the masks fits, and so has any shorter item of
+    which 80 % agree."""
     from itertools import combinations
 
-    for n in (0, 1, 2):
-        for wrong in combinations(range(12), n):
-            fits = any(all(at + i not in wrong for i, c in enumerate(m) if c == "1") for m in decontam.MASKS for at in range(12 - len(m) + 1))
-            assert fits, wrong
+    for size in range(1, 13):
+        for n in range(size // 5 + 1):
+            for wrong in combinations(range(size), n):
+                masks = decontam.SHORT.get(size, decontam.MASKS)
+                fits = any(all(at + i not in wrong for i, c in enumerate(m) if c == "1") for m in masks for at in range(size - len(m) + 1))
+                assert fits, (size, wrong)
+
+
+def test_decontamination_query_against_brute_force(spark, tmp_path):
+    """The query over a whole table: long, short and repeated items, and whole copies of them."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    long = " ".join(word() for _ in range(300))
+    items += [(1001, long), (1002, "Zumpkin,"), (1003, "quallidge frob"), (1004, "quallidge frob"), (1005, "one zwei tre vier"), (None, "null item of some six words")]
+    docs |= {10_001: f"start {long.upper()} end", 10_002: "a zumpkin b", 10_003: "x quallidge... frob", 10_004: "one zwei tre", 10_005: "so one zwei tre vier", 10_006: "the null item of some seven words"}
+    spark.createDataFrame([(i, t, 1) for i, t in docs.items()], "doc_id long, text string, item_id int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_decontam(spark, str(tmp_path)).collect()}
+    assert got[10_001]["words"] == 300 and got[10_001]["item_ids"] == [1001]
+    assert got[10_002]["item_ids"] == [1002] and got[10_003]["item_ids"] == [1003, 1004] and got[10_004]["item_ids"] == [] and got[10_005]["item_ids"] == [1005]
+    assert got[10_006]["contaminated"] and got[10_006]["words"] == 6
+    known = decontam.WordHashes()
+    sets = [(i, t, set(decontam.word_hashes(t, known).tolist())) for i, t in items if i is not None]
+    for k, text in docs.items():
+        words = set(decontam.word_hashes(text, known).tolist())
+        # a stretch of 12 words of which 10 agree has them in both sets
+        want = sorted(i for i, t, s in sets if len(s & words) >= min(5, len(s) - len(s) // 5) and plain_overlap(text, t))
+        assert [i for i in got[k]["item_ids"] if i is not None] == want, k
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_stretch(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(300):
+        n = int(rng.integers(0, 40))
+        a, b = np.zeros(n, dtype="<u8"), (rng.random(n) < rng.choice([0.1, 0.25, 0.5])).astype("<u8")
+        best = max((k, int((a[i : i + k] == b[i : i + k]).sum())) for k in range(n + 1) for i in range(n + 1 - k) if (a[i : i + k] == b[i : i + k]).sum() >= 0.8 * k - 1e-9)
+        assert decontam.stretch(a, b, 12, 0.8) == (best if best[0] >= 12 else (0, 0))
