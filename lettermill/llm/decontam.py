@@ -2,62 +2,73 @@
 
 A mask of ones and zeros is laid over a run of words; the words under ones are hashed together, those under zeros are
 ignored, so a hash survives substituted words at the zeros. Hashes of the test items meet those of the documents in a
-join; around each hit the words are compared along the diagonal, and the longest stretch in which at least SIMILARITY of
-the words agree is what counts.
+join of hashes and places; each document, item and shift between them that comes out once or more is verified once: the
+words of the item and the document are compared along the shift over their whole length, and the longest stretch in which
+at least SIMILARITY of the words agree is what counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import map_batches, staged
+from lettermill.llm.common import discard, map_batches, staged
 
-#: Fixed masks: five words in a row, and two that leave words out. Together they hit every stretch of 12 words with at most
-#: two substitutions that has no five equal words in a row (see the tests).
+#: Fixed masks: five words in a row, and some that leave words out. Together they hit every stretch of 12 words with at most
+#: two substitutions, and items of 7 to 11 words that agree at 80 % (see the tests).
 MASKS = ("11111", "110111", "1110011", "1101011", "11001011")
+#: Items of up to six words have masks of their own: all words, or all but one where one of them may differ.
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "10111", "11011", "11101"), 6: ("11111", "101111", "110111", "111011", "111101")}
+EVERY = tuple(dict.fromkeys([*MASKS, *(m for masks in SHORT.values() for m in masks)]))
 #: Least stretch in words, and the share of its words that must agree. Shorter items must agree as a whole.
 LEAST = 12
 SIMILARITY = 0.8
-#: Words on each side of a hit that travel with it: enough for any stretch of LEAST words around the hit, and for more.
-AROUND = 28
-#: Bits of the map of test hashes that tasks look into before they send a hash; its size is fixed.
-MAP_BITS = 1 << 23
+#: Bits of the map of test hashes, a power of two between these that has at least so many bits a hash.
+MAP_BITS = (16, 27)
+BITS_A_HASH = 48
+#: Bits that each hash sets, fewer where the map is full.
+PROBES = 6
 WORDS_KEPT = 300_000
+#: Words of documents that are hashed together.
+WORDS_AT_ONCE = 200_000
+SIGNS = ".,;:!?\"'()[]{}<>|*%&$#=+-_/\\~^`@«»“”‘’…–—"
 
 
 def _odd(k: int) -> np.uint64:
     return np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1)
 
 
-def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash for each word: lower case, without the signs at its ends; words of signs only are left out."""
-    out = []
-    for w in (text or "").lower().split():
-        h = known.get(w)
-        if h is None:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            core = w.strip(SIGNS)
-            h = known[w] = xxhash.xxh64_intdigest(core.encode(), 7) if core else 0
-        if h:
-            out.append(h)
-    return np.array(out, dtype="<u8")
+class WordHashes(dict):
+    """A 64-bit hash for each word, without the signs at its ends; 0 for a word of signs only."""
 
+    def __missing__(self, word: str) -> int:
+        core = word.strip(SIGNS)
+        h = self[word] = xxhash.xxh64_intdigest(core.encode(), 7) if core else 0
+        return h
 
-SIGNS = ".,;:!?\"'()[]{}<>|*%&$#=+-_/\\~^`@«»“”‘’…–—"
 
+def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
+    """The hashes of a text's words in lower case; words of signs only are left out. known: WordHashes, or an empty dict."""
+    hashes = known if isinstance(known, WordHashes) else WordHashes(known)
+    if len(hashes) > WORDS_KEPT:
+        hashes.clear()
+    words = (text or "").lower().split()
+    out = np.fromiter(map(hashes.__getitem__, words), dtype="<u8", count=len(words))
+    return out[out != 0]
 
-def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
+
+def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """The mask's hash at each place where it fits."""
-    ones = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
-    n = len(words) - len(MASKS[mask]) + 1
+    ones = [i for i, c in enumerate(mask) if c == "1"]
+    n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, _odd(1000 + mask), dtype=np.uint64)
+    out = np.full(n, _odd(1000 + EVERY.index(mask)), dtype=np.uint64)
     for k, i in enumerate(ones):
         out = (out ^ words[i : i + n]) * _odd(k)
         out ^= out >> np.uint64(29)
@@ -67,54 +78,103 @@ def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
 def stretch(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[int, int]:
     """(words, equal words) of the longest stretch of at least `least` aligned words of which `similarity` agree; (0, 0) for none."""
     same = np.concatenate([[0], np.cumsum(a == b)])
-    n = len(a)
-    for size in range(n, least - 1, -1):
-        equal = same[size:] - same[: n + 1 - size]
-        best = int(equal.max())
-        if best >= similarity * size - 1e-9:
-            return size, best
-    return 0, 0
+    # the longest i..j whose share is enough: the surplus at j is no less than that at i, whose running minimum falls
+    surplus = same - similarity * np.arange(len(same))
+    lowest = np.minimum.accumulate(surplus)
+    first = np.searchsorted(-lowest, -(surplus + 1e-9), side="left")
+    size = int((np.arange(len(same)) - first).max())
+    if size < max(least, 1):
+        return 0, 0
+    return size, int((same[size:] - same[: len(same) - size]).max())
 
 
-def _item_seeds():
-    known: dict[str, int] = {}
+def _item_words():
+    known = WordHashes()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for item, text in zip(batch.column(0), batch.column(1), strict=True):
-            words = word_hashes(text.as_py(), known)
-            for m in range(len(MASKS)):
-                for at, h in enumerate(seed_hashes(words, m).view(np.int64).tolist()):
-                    rows.append((item.as_py(), h, at, words[max(0, at - AROUND) : at + AROUND].tobytes(), min(at, AROUND), len(words)))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item_id", "hash", "item_at", "item_words", "item_before", "item_length"])
+        words = [word_hashes(t.as_py(), known).tobytes() for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["item_id", "item_words"])
 
     return step
 
 
-def _document_hits(shared):
-    def make():
-        bits = shared.value
-        known: dict[str, int] = {}
+def _item_seeds():
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple[np.ndarray, ...]] = []
+        for item, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = np.frombuffer(raw.as_py(), dtype="<u8")
+            for m in SHORT.get(len(words), MASKS):
+                hashes = seed_hashes(words, m).view(np.int64)
+                out.append((np.full(len(hashes), item), np.full(len(hashes), EVERY.index(m)), hashes, np.arange(len(hashes))))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["item", "mask", "hash", "item_at"])
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = word_hashes(text.as_py(), known)
-                for m in range(len(MASKS)):
-                    hashes = seed_hashes(words, m)
-                    slot = hashes & np.uint64(MAP_BITS - 1)
-                    hit = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
-                    for at in hit.tolist():
-                        rows.append((doc.as_py(), int(hashes[at : at + 1].view(np.int64)[0]), at, words[max(0, at - AROUND) : at + AROUND].tobytes(), min(at, AROUND)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "hash", "doc_at", "doc_words", "doc_before"])
+    return step
 
-        return step
 
-    return make
+def _probe(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The place of each hash's k-th bit: k steps by its high part from its low part."""
+    return (hashes + np.uint64(k) * (hashes >> np.uint64(36))) & np.uint64((1 << bits) - 1)
+
+
+def _document_hits(shared, masks: tuple[str, ...], bits: int, probes: int):
+    """Documents with a hash that the map has: words, and hash and place of each such hit."""
+    names = ["doc_id", "doc_words", "hits", "places"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not masks:
+            return
+        table, known = shared.value, WordHashes()
+        docs: list[int | None] = []
+        words: list[np.ndarray] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(w) for w in words])
+            every = np.concatenate(words)
+            ends = np.cumsum(sizes)
+            hit_at, hit_hash = [], []
+            for m in masks:
+                hashes = seed_hashes(every, m)
+                hits = np.arange(len(hashes))
+                for k in range(probes):
+                    slot = _probe(hashes[hits], k, bits)
+                    hits = hits[((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)]
+                # a mask lies within one document
+                hits = hits[hits + len(m) <= ends[np.searchsorted(ends, hits, side="right")]]
+                hit_at.append(hits)
+                hit_hash.append(hashes[hits].view(np.int64))
+            at, hashes = np.concatenate(hit_at), np.concatenate(hit_hash)
+            order = np.argsort(at, kind="stable")
+            at, hashes = at[order], hashes[order]
+            owner = np.searchsorted(ends, at, side="right")
+            own, starts = np.unique(owner, return_index=True)
+            if len(own):
+                cuts = pa.array(np.append(starts, len(at)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([docs[k] for k in own], pa.int64()),
+                        pa.array([words[k].tobytes() for k in own], pa.binary()),
+                        pa.ListArray.from_arrays(cuts, pa.array(hashes)),
+                        pa.ListArray.from_arrays(cuts, pa.array(at - (ends - sizes)[owner])),
+                    ],
+                    names=names,
+                )
+            docs.clear()
+            words.clear()
+
+        held = 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                docs.append(doc.as_py())
+                words.append(word_hashes(text.as_py(), known))
+                held += len(words[-1])
+                if held >= WORDS_AT_ONCE:
+                    yield from found()
+                    held = 0
+        if held:
+            yield from found()
+
+    return run
 
 
 def _verifier(least: int, similarity: float):
@@ -123,17 +183,11 @@ def _verifier(least: int, similarity: float):
             get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out: list[tuple] = []
             seen: dict[tuple, tuple[int, int]] = {}
-            for doc, item, a, ab, b, bb, length in zip(*(get[c] for c in ("doc_id", "item_id", "doc_words", "doc_before", "item_words", "item_before", "item_length")), strict=True):
-                raw_a, before_a, raw_b, before_b, length = a.as_py(), ab.as_py(), b.as_py(), bb.as_py(), length.as_py()
-                key = (raw_a, before_a, raw_b, before_b)
+            for doc, item, a, b, length in zip(*(get[c] for c in ("doc_id", "item_id", "x", "y", "item_length")), strict=True):
+                key = (a.as_py(), b.as_py())
                 if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    x, y = np.frombuffer(raw_a, dtype="<u8"), np.frombuffer(raw_b, dtype="<u8")
-                    before = min(before_a, before_b)
-                    x, y = x[before_a - before :], y[before_b - before :]
-                    n = min(len(x), len(y))
-                    seen[key] = stretch(x[:n], y[:n], min(least, length), similarity)
+                    x, y = (np.frombuffer(v, dtype="<u8") for v in key)
+                    seen[key] = stretch(x, y, min(least, length.as_py()), similarity)
                 size, equal = seen[key]
                 if size:
                     out.append((doc.as_py(), item.as_py(), size, equal))
@@ -145,11 +199,13 @@ def _verifier(least: int, similarity: float):
     return make
 
 
-def _hash_map(seeds: DataFrame) -> np.ndarray:
-    """The map of test hashes: MAP_BITS bits, a row for each 64 of them at most, whatever the number of hashes."""
-    slot = F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1))
-    words = seeds.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
+def _hash_map(seeds: DataFrame, bits: int, probes: int) -> np.ndarray:
+    """The map of test hashes, 2 ** bits bits, with the places of _probe set."""
+    # sums of the low parts only: a long must not overflow
+    low = lambda c: c.bitwiseAND(F.lit((1 << bits) - 1))
+    slots = F.array(*[low(low(F.col("hash")) + F.lit(k) * F.shiftrightunsigned("hash", 36)) for k in range(probes)])
+    words = seeds.select(F.explode(slots).alias("slot")).select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros((1 << bits) // 64, dtype=np.int64)
     for r in words.toLocalIterator():
         out[r["w"]] = r["b"]
     return out.view(np.uint64)
@@ -157,25 +213,35 @@ def _hash_map(seeds: DataFrame) -> np.ndarray:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, words, equal_words) for every document that shares with a test item a stretch of at least `least`
-    words (the whole item, if shorter) of which the share `similarity` agrees; the longest verified stretch is given, looked
-    for within AROUND words of a hit.
+    words (the whole item, if shorter) of which the share `similarity` agrees; the longest such stretch is given, however long.
 
     Words are compared in lower case and without signs at their ends. Null texts are empty and overlap with nothing, as do
-    items of fewer words than the shortest mask. Null ids count as ids. Repeated rows do not repeat the result; other columns
-    are ignored; an empty table on either side gives an empty result. Documents send a hash only where a bit map of the test
-    hashes, of fixed size, has it; hashes meet in a join that Spark may split where one is hot.
+    items without words; a short item is found wherever its words stand. Null ids count as ids. Repeated rows do not repeat the
+    result; other columns are ignored; an empty table on either side gives an empty result. Documents send a hash only where a
+    bit map of the test hashes, of at most 2 ** 27 bits, has it; hashes and places meet in a join that Spark may split where one
+    is hot, and words travel only to the pairs and shifts that come out of it.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    seeds = staged(map_batches(items, _item_seeds, "item_id long, hash long, item_at long, item_words binary, item_before long, item_length long"), "seeds")
-    bits = spark.sparkContext.broadcast(_hash_map(seeds))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hits = map_batches(rows, _document_hits(bits), "doc_id long, hash long, doc_at long, doc_words binary, doc_before long")
-    found = map_batches(
-        hits.join(seeds, "hash").select("doc_id", "item_id", "doc_words", "doc_before", "item_words", "item_before", "item_length"),
-        _verifier(least, similarity),
-        "doc_id long, item_id long, words long, equal_words long",
-    )
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    items = staged(map_batches(rows, _item_words, "item_id long, item_words binary").where("octet_length(item_words) > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = staged(map_batches(items.select("item", "item_words"), _item_seeds, "item long, mask long, hash long, item_at long"), "seeds")
+    used = {r["mask"]: r["n"] for r in seeds.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a mask
+    n = sum(used.values())
+    bits = min(max(int(BITS_A_HASH * n).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+    probes = min(PROBES, max(1, round(0.7 * (1 << bits) / max(n, 1))))
+    shared = spark.sparkContext.broadcast(_hash_map(seeds, bits, probes))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    hits = texts.mapInArrow(_document_hits(shared, tuple(EVERY[m] for m in sorted(used)), bits, probes), "doc_id long, doc_words binary, hits array<long>, places array<long>")
+    hits = staged(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+    places = hits.select("row", F.explode(F.arrays_zip("hits", "places")).alias("h")).select("row", F.col("h.hits").alias("hash"), F.col("h.places").alias("doc_at"))
+    # the item's first word stands at place `at` of the document, before its first word if negative
+    met = staged(places.join(seeds.select("item", "hash", "item_at"), "hash").select("row", "item", (F.col("doc_at") - F.col("item_at")).alias("at")).distinct(), "met")
+    discard(seeds)
+    wide = met.join(items, "item").join(hits.select("row", "doc_id", "doc_words"), "row")
+    shift = lambda words, n: F.expr(f"substring({words}, cast(8 * {n} + 1 as int))")
+    wide = wide.select("doc_id", "item_id", F.expr("octet_length(item_words) div 8").alias("item_length"), shift("doc_words", "greatest(at, 0)").alias("x"), shift("item_words", "greatest(-at, 0)").alias("y"))
+    wide = wide.withColumn("n", F.least(F.octet_length("x"), F.octet_length("y"))).selectExpr("doc_id", "item_id", "item_length", "substring(x, 1, n) as x", "substring(y, 1, n) as y")
+    found = map_batches(wide, _verifier(least, similarity), "doc_id long, item_id long, words long, equal_words long")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "equal_words")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.words").alias("words"), F.col("m.equal_words").alias("equal_words"))
 
