@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import components, dealt, group_ids, map_batches, paired, runs, staged
+from lettermill.llm.common import components, dealt, discard, group_ids, map_batches, paired, runs, staged
 
 COSINE = 0.95
 BLOCKS = 4
@@ -298,22 +298,28 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     dims = longest // 8
     decoded = staged(map_batches(classes.select("node", "vector", "copies"), _decoder(n, dims), "node long, vector binary, copies long, s0 long, s1 long, filters array<long>"), "filters")
-    # buckets of one vector are dropped before anything is dealt; a key sorts buckets by size (powers of two), the largest first
+    # buckets of one vector are dropped before anything is dealt; a key sorts buckets by size, the largest first: 16 bits for the
+    # logarithm of the size in steps of 1/1024, 47 for the filter, enough for 10 ** 11 vectors
     pairs = decoded.select("node", F.explode("filters").alias("filter"))
-    key = F.shiftleft(F.lit(62) - F.floor(F.log2(F.col("n") + 0.5)), 57).bitwiseOR(F.col("filter"))
+    key = F.shiftleft(F.lit(65_000) - F.floor(F.log2(F.col("n").cast("double")) * 1024), 47).bitwiseOR(F.col("filter"))
     many = pairs.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("filter", key.alias("key"), "n")
     shared = staged(pairs.join(many, "filter").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("shared")), "shared")
-    big = F.transform(F.filter("shared", lambda s: s["n"] > DENSE_ROWS), lambda s: s["key"])
-    marked = shared.select("node", big.alias("big"), "shared")
-
-    small = marked.select("node", "big", F.explode(F.filter("shared", lambda s: s["n"] <= DENSE_ROWS)).alias("s")).select("node", "big", F.col("s.key").alias("key"))
-    small = small.join(decoded.select("node", "s0", "s1"), "node").repartition("key").sortWithinPartitions("key")
+    is_dense = lambda s: s["n"] > DENSE_ROWS
+    dense = shared.select("node", F.filter("shared", is_dense).alias("d")).where(F.size("d") > 0).select("node", F.col("d")[0]["key"].alias("first"), F.explode("d").alias("s")).select("node", "first", "s.key", "s.n")
+    # a bucket whose rows all lie in one larger bucket as well has no pair of its own
+    needed = dense.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where((F.col("lo") < F.col("hi")) | (F.col("lo") == F.col("key"))).select("key")
+    kept = staged(dense.join(needed, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("dense")), "dense")
+    lists = kept.select("node", F.transform("dense", lambda s: s["key"]).alias("big"), "dense")
+
+    small = shared.select("node", F.explode(F.filter("shared", lambda s: ~is_dense(s))).alias("s")).select("node", F.col("s.key").alias("key"))
+    small = small.join(decoded.select("node", "s0", "s1"), "node").join(lists.select("node", "big"), "node", "left").withColumn("big", F.coalesce("big", F.array().cast("array<long>")))
+    small = small.repartition("key").sortWithinPartitions("key")
     met = staged(small.mapInArrow(_near_sketches, "a long, b long").distinct(), "met")
     half = decoded.select("node", "vector", "copies")
     rows = met.join(half.toDF("a", "x", "copies_a"), "a").join(half.toDF("b", "y", "copies_b"), "b")
     single = staged(map_batches(rows, _verifier(dims, cosine), "a long, b long, copies_a long, copies_b long"), "pairs")
 
-    large = marked.where(F.size("big") > 0).join(half, "node").select("node", "vector", "copies", "big", F.explode(F.filter("shared", lambda s: s["n"] > DENSE_ROWS)).alias("s"))
+    large = lists.join(half, "node").select("node", "vector", "copies", "big", F.explode("dense").alias("s"))
     large = large.select("node", "vector", "copies", "big", F.col("s.key").alias("key"), F.col("s.n").alias("n"))
     found = staged(dealt(large, ["key"], F.col("node"), "n").mapInArrow(_finder(dims, cosine), "node long, label long, links long"), "found")
 
@@ -324,5 +330,6 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     told = rooted.select("vector", "node", "copies", "root").join(least, "root").join(counted, "node", "left")
     told = staged(told.select("vector", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")), "told")
+    discard(classes, decoded, shared, kept, met, single, found)
     linked = ids.where("vector is not null").join(told, "vector").select("id", F.col("n").cast("long").alias("n_links"), "component_id")
     return linked.unionByName(ids.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
