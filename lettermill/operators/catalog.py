@@ -42,9 +42,11 @@ def merge_file_catalog(catalog: DataFrame, scan: DataFrame, roots: list[str]) ->
 
 
 def first_in_batch(files: DataFrame, key: str = "content_hash", order: str = "path") -> DataFrame:
-    """files with a column first: of the rows with one hash only the first counts, rows without a hash always do."""
-    w = Window.partitionBy(key).orderBy(order)
-    return files.where(F.col(key).isNotNull()).withColumn("first", F.row_number().over(w) == 1).unionByName(files.where(F.col(key).isNull()).withColumn("first", F.lit(True)))
+    """files with a column first: of the rows with one hash only the first by `order`, which no two rows share, counts; rows without a
+    hash always do."""
+    # a minimum meets partial minima before the exchange, and the join that brings it back may be split where a hash is hot
+    least = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_least"))
+    return files.join(least, key, "left").withColumn("first", F.col(key).isNull() | (F.col(order) == F.col("_least"))).select(*files.columns, "first")
 
 
 def refresh_catalog(catalog: DataFrame, listing: DataFrame) -> DataFrame:

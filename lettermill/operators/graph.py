@@ -8,31 +8,52 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
+from lettermill.sources.stored import stored
 
 # ---- vertices
 
 
-def persons(mails: DataFrame) -> DataFrame:
-    """One person for each address key: first name that is not empty, by time and mail, and the domain."""
+def person_parts(mails: DataFrame) -> DataFrame:
+    """(email, named, organization): named is the first name that is not empty, with its time and mail."""
     sent = mails.select(F.col("sender_key").alias("email"), "sender_name", "received", "id")
     to = mails.select(F.explode(F.concat("recipients", "cc")).alias("a"), "received", "id").select(X.address_key(F.col("a")).alias("email"), F.lit(None).cast("string").alias("sender_name"), "received", "id")
     seen = sent.unionByName(to).where(X.blank_to_null(F.col("email")).isNotNull())
     name = F.min(F.when(X.blank_to_null(F.col("sender_name")).isNotNull(), F.struct("received", "id", "sender_name")))
-    return seen.groupBy("email").agg(name.alias("m")).select("email", F.coalesce("m.sender_name", F.lit("")).alias("name"), X.address_domain(F.col("email")).alias("organization"))
+    return seen.groupBy("email").agg(name.alias("named")).select("email", "named", X.address_domain(F.col("email")).alias("organization"))
+
+
+def persons(mails: DataFrame) -> DataFrame:
+    """One person for each address key: first name that is not empty, by time and mail, and the domain."""
+    return SHOWN["person"](person_parts(mails))
+
+
+def thread_parts(mails: DataFrame) -> DataFrame:
+    """(thread_id, opened, last_activity): opened is the first mail's time, id and subject."""
+    named = mails.where(X.blank_to_null(F.col("conversation_id")).isNotNull())
+    return named.groupBy(F.col("conversation_id").alias("thread_id")).agg(F.min(F.struct("received", "id", "subject")).alias("opened"), F.max("received").alias("last_activity"))
 
 
 def threads(mails: DataFrame) -> DataFrame:
     """One thread for each conversation id: subject of its first mail, time of its last."""
-    named = mails.where(X.blank_to_null(F.col("conversation_id")).isNotNull())
-    first = F.min(F.struct("received", "id", "subject"))
-    found = named.groupBy(F.col("conversation_id").alias("thread_id")).agg(first.alias("m"), F.max("received").alias("last_activity"))
-    return found.select("thread_id", F.col("m.subject").alias("subject"), "last_activity")
+    return SHOWN["thread"](thread_parts(mails))
+
+
+def concept_parts(entities: DataFrame) -> DataFrame:
+    """(concept_key, told): told is the first mail that mentions it, with spelling and type."""
+    return entities.groupBy(F.lower("name").alias("concept_key")).agg(F.min(F.struct("email_id", "name", "type")).alias("told"))
 
 
 def concepts(entities: DataFrame) -> DataFrame:
     """One concept for each name without regard to case: the spelling and type of the first mail, by mail, name and type."""
-    first = F.min(F.struct("email_id", "name", "type"))
-    return entities.groupBy(F.lower("name").alias("concept_key")).agg(first.alias("m")).select("concept_key", F.col("m.name").alias("name"), F.col("m.type").alias("type"))
+    return SHOWN["concept"](concept_parts(entities))
+
+
+#: Vertices as they are shown, from parts that may still be merged.
+SHOWN = {
+    "person": lambda df: df.select("email", F.coalesce("named.sender_name", F.lit("")).alias("name"), "organization"),
+    "thread": lambda df: df.select("thread_id", F.col("opened.subject").alias("subject"), "last_activity"),
+    "concept": lambda df: df.select("concept_key", F.col("told.name").alias("name"), F.col("told.type").alias("type")),
+}
 
 
 def node_counts(**vertices: DataFrame) -> DataFrame:
@@ -62,10 +83,21 @@ def reply_to_edges(mails: DataFrame) -> DataFrame:
     return named.join(first, "conversation_id").where("id <> parent").select(F.col("id").alias("email_id"), "parent")
 
 
+def thread_parent(mails: DataFrame) -> DataFrame:
+    """(id, parent) of every mail with a thread: the thread's earliest mail, null for that mail itself."""
+    named = mails.where(X.blank_to_null(F.col("conversation_id")).isNotNull()).select("id")
+    return named.join(reply_to_edges(mails).withColumnRenamed("email_id", "id"), "id", "left")
+
+
 def thread_position(mails: DataFrame) -> DataFrame:
-    """Place of each mail in its thread, from 1."""
-    w = Window.partitionBy("conversation_id").orderBy("received", "id")
-    return mails.where(X.blank_to_null(F.col("conversation_id")).isNotNull()).select("id", "conversation_id", F.row_number().over(w).alias("position"))
+    """Place of each mail in its thread, from 1. Mails are dealt by ranges of thread, time and id, so a hot thread lies in many
+    parts; each numbers its own rows and begins after what the parts before it hold."""
+    named = mails.where(X.blank_to_null(F.col("conversation_id")).isNotNull()).select("id", "conversation_id", "received")
+    rows = stored(named.repartitionByRange("conversation_id", "received", "id").withColumn("part", F.spark_partition_id()), "thread-parts")
+    place = F.row_number().over(Window.partitionBy("conversation_id", "part").orderBy("received", "id"))
+    earlier = Window.partitionBy("conversation_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("conversation_id", "part").agg(F.count(F.lit(1)).alias("n")).select("conversation_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return rows.withColumn("place", place).join(before, ["conversation_id", "part"]).select("id", "conversation_id", (F.col("place") + F.col("before")).cast("int").alias("position"))
 
 
 def has_attachment_edges(attachments: DataFrame, mails: DataFrame) -> DataFrame:
@@ -141,25 +173,51 @@ def relink_concepts(old: DataFrame, extracted: DataFrame) -> DataFrame:
     return old.join(fresh.select("email_id").distinct(), "email_id", "left_anti").unionByName(fresh)
 
 
-def write_graph(path: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> None:
-    """Append vertices and edges (rows, key columns) that are not stored yet, a Parquet table for each name."""
-    for name, (rows, key) in tables.items():
-        spark = rows.sparkSession
-        target = f"{path}/{name}"
-        unique = rows.dropDuplicates(key)
-        if _exists(spark, target):
-            unique = unique.join(spark.read.parquet(target).select(*key), key, "left_anti")
-        unique.write.mode("append").parquet(target)
+#: Keys of each stored table, and how the other columns of a key's rows from several batches become one. Columns that are not
+#: named come from the smallest row.
+KEYS = {
+    "person": ["email"], "thread": ["thread_id"], "email": ["message_key"], "concept": ["concept_key"], "claim": ["claim_id"], "evidence": ["evidence_id"], "mechanism": ["mechanism_id"],
+    "address_edge": ["person", "email_id", "kind"], "belongs_to": ["email_id", "thread_id"], "mentions": ["email_id", "concept_key"], "claim_edge": ["kind", "source", "target"], "communicates_with": ["source", "target"],
+}
+MERGED = {
+    "person": {"named": F.min, "organization": F.min},
+    "thread": {"opened": F.min, "last_activity": F.max},
+    "concept": {"told": F.min},
+    "communicates_with": {"count": F.sum, "last_date": F.max},
+}
+
+
+def write_graph(path: str, tables: dict[str, DataFrame], batch: str) -> None:
+    """Store the vertices and edges of one batch of mails, a Parquet table for each name with a folder for each batch. Nothing
+    stored is read or rewritten, so a batch costs what it holds; a batch that is written again takes its own place."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
+def merge_parts(name: str, rows: DataFrame) -> DataFrame:
+    """Rows of one key from several batches as one row: counts add up, dates and activity are the latest, names, subjects and
+    spellings those of the first mail; what repeats is there once."""
+    key = KEYS[name]
+    rest = [c for c in rows.columns if c not in key]
+    if name in MERGED:
+        return rows.groupBy(*key).agg(*[MERGED[name][c](c).alias(c) for c in rest])
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_m")).select(*key, *[F.col(f"_m.{c}").alias(c) for c in rest])
 
-    try:
-        spark.read.parquet(path).schema
-    except AnalysisException:
-        return False
-    return True
+
+def read_parts(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Stored tables over all batches, merged by key, still in parts: what write_graph of another folder takes to compact them."""
+    return {n: merge_parts(n, spark.read.parquet(f"{path}/{n}").drop("batch")) for n in names or KEYS}
+
+
+def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All vertices and edges as they stand after every batch. reply_to follows from the threads' first mails of all batches, so a
+    reply to a stored thread, or an earlier mail that comes later, has the right parent."""
+    parts = read_parts(spark, path)
+    first = parts["thread"].select("thread_id", F.col("opened.id").alias("parent"))
+    replies = parts["belongs_to"].join(first, "thread_id").where("email_id <> parent").select("email_id", "parent")
+    return {n: SHOWN[n](df) if n in SHOWN else df for n, df in parts.items()} | {"reply_to": replies}
 
 
 # ---- traversals
@@ -193,9 +251,12 @@ def claim_resolution(k: DataFrame, part: str) -> DataFrame:
     c = claims(k).where(F.contains("text", F.lit(part))).select("email_id", F.col("text").alias("claim"))
     e = evidence(k).select("email_id", F.col("text").alias("evidence"))
     m = mechanisms(k).select("email_id", F.col("name").alias("mechanism"))
-    joined = c.join(e, "email_id", "left").join(m, "email_id", "left")
-    lists = [F.array_join(F.array_sort(F.collect_set(x)), "; ").alias(x) for x in ("evidence", "mechanism")]
-    return joined.groupBy("claim").agg(*lists)
+    # evidence and mechanisms meet the claims apart, so a mail's many never multiply
+    lists = [c.join(x, "email_id").select("claim", name).distinct().groupBy("claim").agg(F.array_join(F.array_sort(F.collect_set(name)), "; ").alias(name)) for x, name in ((e, "evidence"), (m, "mechanism"))]
+    out = c.select("claim").distinct()
+    for listed in lists:
+        out = out.join(listed, "claim", "left")
+    return out.select("claim", *[F.coalesce(n, F.lit("")).alias(n) for n in ("evidence", "mechanism")])
 
 
 def claim_sources(mails: DataFrame, k: DataFrame, part: str, limit: int = 20) -> DataFrame:
@@ -251,7 +312,9 @@ def find_lineage(lineage: DataFrame, method: str, version: str | None = None) ->
 def cap_nodes(nodes: DataFrame, most: int = 200, group: str | None = None) -> DataFrame:
     """At most so many nodes of a request, mails and senders first, then TO and CC persons, concepts last."""
     priority = F.when(F.col("type") == "EMAIL", 0).when(F.col("role") == "SENT", 1).when(F.col("type") == "PERSON", 2).otherwise(3)
-    w = Window.partitionBy(F.col(group) if group else F.lit(0)).orderBy(priority, "node_id")
+    if group is None:
+        return nodes.orderBy(priority, "node_id").limit(most)
+    w = Window.partitionBy(group).orderBy(priority, "node_id")
     return nodes.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 
@@ -277,32 +340,27 @@ def register_graph_views(tables: dict[str, DataFrame], prefix: str = "graph_") -
     return [prefix + name for name in tables]
 
 
-def build_graph(mails: DataFrame, raw: DataFrame, known: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
-    """All vertices and edges of the mails that are not known yet, with their keys, for write_graph."""
+def build_graph(mails: DataFrame, raw: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+    """All vertices and edges of the mails that are not known yet, in parts, for write_graph."""
     new = new_emails(mails, known)
     k = knowledge(raw.join(new.select(F.col("id").alias("email_id")), "email_id", "left_semi"))
     entities = entities_of(k)
     return {
-        "person": (persons(new), ["email"]),
-        "thread": (threads(new), ["thread_id"]),
-        "email": (new.select("message_key", "id", "subject", "received", "pst_file", "owner"), ["message_key"]),
-        "concept": (concepts(entities), ["concept_key"]),
-        "claim": (claims(k), ["claim_id"]),
-        "evidence": (evidence(k), ["evidence_id"]),
-        "mechanism": (mechanisms(k), ["mechanism_id"]),
-        "address_edge": (address_edges(new), ["person", "email_id", "kind"]),
-        "belongs_to": (belongs_to_edges(new), ["email_id", "thread_id"]),
-        "reply_to": (reply_to_edges(new), ["email_id"]),
-        "mentions": (mentions_edges(entities), ["email_id", "concept_key"]),
-        "claim_edge": (claim_edges(k), ["kind", "source", "target"]),
-        "communicates_with": (communicates_with(new), ["source", "target"]),
+        "person": person_parts(new),
+        "thread": thread_parts(new),
+        "email": new.select("message_key", "id", "subject", "received", "pst_file", "owner"),
+        "concept": concept_parts(entities),
+        "claim": claims(k),
+        "evidence": evidence(k),
+        "mechanism": mechanisms(k),
+        "address_edge": address_edges(new),
+        "belongs_to": belongs_to_edges(new),
+        "mentions": mentions_edges(entities),
+        "claim_edge": claim_edges(k),
+        "communicates_with": communicates_with(new),
     }
 
 
-def edge_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    return node_counts(**{name: rows.dropDuplicates(key) for name, (rows, key) in tables.items()})
-
-
 def refresh_concepts(mails: DataFrame, raw: DataFrame, known: DataFrame, old: DataFrame) -> DataFrame:
     """MENTIONS after the mails in the graph were extracted anew."""
     again = known_emails(mails, known)

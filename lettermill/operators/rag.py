@@ -38,12 +38,20 @@ def extract_entities(texts: DataFrame, extract: Callable[[str], list[tuple[str,
     return texts.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(run, "id string, entities array<struct<name:string,type:string>>, error string")
 
 
+#: Letters at the start of a name that find the concepts to hold it against.
+GRAM = 3
+
+
 def rag_context(entities: DataFrame, mails: DataFrame, mentions: DataFrame, concepts: DataFrame, k: int) -> DataFrame:
     """(question, id, rank): for each entity (question, place, name) its newest k mails, each mail at its first entity, k a
     question. Distinct names meet the concepts once, so questions that ask the same share the work; the top k of a name are
     taken before they go back to the questions."""
     names = entities.select("name").distinct()
-    hit = names.join(concepts.select("concept_key", F.col("name").alias("concept")), F.contains("concept", "name")).select("name", "concept_key")
+    # a concept that contains a name also has its first three letters somewhere, so an equal join finds what contains() then verifies
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda i: F.substring(c, i, n)))))
+    known = concepts.select("concept_key", F.col("name").alias("concept"), F.explode(F.array_union(grams(F.col("name")), F.array(F.lit("")))).alias("gram"))
+    asked = names.withColumn("gram", F.substring("name", 1, GRAM))
+    hit = asked.join(known, "gram").where(F.contains("concept", "name")).select("name", "concept_key").distinct()
     found = hit.join(mentions, "concept_key").select("name", F.col("email_id").alias("id")).distinct().join(mails.select("id", "received"), "id")
     per_name = Window.partitionBy("name").orderBy(F.desc("received"), "id")
     best = found.withColumn("r", F.row_number().over(per_name)).where(F.col("r") <= k)

@@ -52,9 +52,9 @@ def j3(spark, sf):
     return C.plan_unprocessed(files(spark, sf))
 
 
-@query("j5_plan_attachment_backfill", duckdb("select id from emails where pst_file in (select pst_file from file_catalog where status='Processed' and not attachments_saved) and id in (select email_id from attachments where size > 50000 group by email_id having count(hash)=0)", "emails", "file_catalog", "attachments"))
+@query("j5_plan_attachment_backfill", duckdb("select id from emails where pst_file in (select pst_file from file_catalog where status='Processed' and not attachments_saved) and id in (select email_id from attachments group by email_id having count(case when size > 30000 then hash end)=0)", "emails", "file_catalog", "attachments"))
 def j5(spark, sf):
-    return C.plan_attachment_backfill(files(spark, sf), mails(spark, sf), table(spark, sf, "attachments").where("size > 50000")).select("id")
+    return C.plan_attachment_backfill(files(spark, sf), mails(spark, sf), table(spark, sf, "attachments").withColumn("hash", F.when(F.col("size") > 30000, F.col("hash")))).select("id")
 
 
 @query("j6_plan_selected", sql("select id, case when status<>'Processed' then 'process' when seq%3=0 and not attachments_saved then 'backfill' else 'skip' end as action from file_catalog"))

@@ -176,13 +176,13 @@ def j25(spark, sf):
 REQUESTS = "rq as (select conversation_id as request, id as email_id from m where conversation_id is not null)"
 MINI = """e2 as (select distinct request, concat('person:',person) as source, concat('email:',email_id) as target, kind as type from rq join ae using(email_id) union all select distinct request, concat('email:',email_id), concat('concept:',lower(name)), 'MENTIONS' from rq join mail_entities using(email_id)),
  nd as (select distinct request, concat('email:',email_id) as node_id, 'EMAIL' as type, 0 as pr from rq union all select request, source, 'PERSON', case when bool_or(type='SENT') then 1 else 2 end from e2 where type<>'MENTIONS' group by 1,2 union all select distinct request, target, 'CONCEPT', 3 from e2 where type='MENTIONS'),
- kept as (select request, node_id, type from nd qualify row_number() over(partition by request order by pr, node_id)<=40)"""
+ kept as (select request, node_id, type from nd qualify row_number() over(partition by request order by pr, node_id)<=200)"""
 
 
 def mini(spark, sf):
     m = mails(spark, sf)
     requests = m.where("conversation_id is not null").select(F.col("conversation_id").alias("request"), F.col("id").alias("email_id"))
-    return G.mini_graph(requests, m, G.address_edges(m), G.mentions_edges(entities(spark, sf)), 40)
+    return G.mini_graph(requests, m, G.address_edges(m), G.mentions_edges(entities(spark, sf)), 200)
 
 
 @query("j26_mini_graph", m_sql("select request, source, target, type from e2 where (request, source) in (select request, node_id from kept) and (request, target) in (select request, node_id from kept)", "mail_entities", more=EDGES + ", " + REQUESTS + ", " + MINI))
@@ -239,17 +239,29 @@ BUILT = f"""gn as (select * from m where message_key not in (select message_key
     ),
 )
 def d4(spark, sf):
-    m = mails(spark, sf)
-    return G.edge_counts(G.build_graph(m, table(spark, sf, "k1_raw"), m.where("seq % 5 = 0")))
+    """The graph after two batches that split the mails of threads and pairs, counted."""
+    path = fresh_path(spark, "graph")
+    m, raw = mails(spark, sf), table(spark, sf, "k1_raw")
+    known = m.where("seq % 5 = 0").select("message_key")
+    half = F.pmod(F.xxhash64("message_key"), F.lit(2)) == 0
+    G.write_graph(path, G.build_graph(m.where(half), raw, known), "first")
+    stored_keys = spark.read.parquet(f"{path}/email").select("message_key")
+    G.write_graph(path, G.build_graph(m, raw, known.unionByName(stored_keys)), "second")
+    return G.node_counts(**G.read_graph(spark, path))
 
 
-@query("s10_write_graph", m_sql("select source, target, count from cw", more=COMM))
+@query("s10_write_graph", m_sql(f"select source, target, count, {TS.format('last_date')} as last_date from cw", more=COMM))
 def s10(spark, sf):
     path = fresh_path(spark, "graph")
-    edges = G.communicates_with(mails(spark, sf))
-    for part in (edges.where("length(source) % 2 = 0"), edges):  # the second write adds only what the first has not
-        G.write_graph(path, {"communicates_with": (part, ["source", "target"])})
-    return spark.read.parquet(f"{path}/communicates_with").select("source", "target", "count")
+    for k in range(3):  # the mails of a pair lie in all batches
+        G.write_graph(path, {"communicates_with": G.communicates_with(mails(spark, sf).where(F.col("seq") % 3 == k))}, str(k))
+    G.write_graph(f"{path}-whole", G.read_parts(spark, path, ["communicates_with"]), "whole")
+    return G.read_parts(spark, f"{path}-whole", ["communicates_with"])["communicates_with"].select("source", "target", "count", ts("last_date").alias("last_date"))
+
+
+@query("w3_thread_parent", m_sql("select id, nullif(first_value(id) over(partition by conversation_id order by received, id), id) as parent from m where conversation_id is not null"))
+def w3b(spark, sf):
+    return G.thread_parent(mails(spark, sf))
 
 
 @query("d5_refresh_concepts", m_sql("select distinct email_id, lower(name) as concept_key from mail_entities where email_id not in (select ke.email_id from ke join m on ke.email_id=m.id where m.message_key in (select message_key from m where seq%2=0)) union all select distinct email_id, lower(name) from ke where email_id in (select id from m where message_key in (select message_key from m where seq%2=0))", "mail_entities", "k1_raw", more=K))
