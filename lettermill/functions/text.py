@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What starts a reply chain, a forwarded block or a signature, and the caps on text lengths.
 REPLY_MARKER = (
@@ -53,35 +58,63 @@ def strip_replies(text: Column) -> Column:
     return F.when(cut.rlike(r"\S"), cut).otherwise(text)
 
 
+#: Elements that leave no space between the texts around them; every other one does.
+INLINE = frozenset("a abbr b bdi bdo big cite code dfn em font i kbd label mark q s samp small span strike strong sub sup tt u var".split())
+
+
+class _Visible(HTMLParser):
+    """Collects what a reader sees: no scripts, styles and comments."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        self.parts.append("" if tag in INLINE else " ")
+
+    def handle_startendtag(self, tag, attrs):
+        self.parts.append("" if tag in INLINE else " ")
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in ("script", "style")))
+        self.parts.append("" if tag in INLINE else " ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def visible_text(html: str | None) -> str:
+    """Visible text of HTML, both capped: entities as signs, space collapsed; a tag that the end or the cap cuts off is left out,
+    a '<' that begins no tag is text."""
+    source = re.sub(r"<[a-zA-Z/!][^>]*\Z", "", (html or "")[:HTML_CHARS])
+    parser = _Visible()
+    parser.feed(source)
+    parser.close()
+    return " ".join("".join(parser.parts).split())[:BODY_CHARS]
+
+
+@F.pandas_udf(T.StringType())
+def _visible_texts(html: pd.Series) -> pd.Series:
+    return html.map(visible_text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text of HTML, both capped: no scripts, styles and comments, block tags as spaces, entities as signs, space collapsed."""
-    out = F.substring(F.coalesce(html, F.lit("")), 1, HTML_CHARS)
-    for pattern, by in HTML_RULES:
-        out = F.regexp_replace(out, pattern, by)
-    return F.substring(F.trim(out), 1, BODY_CHARS)
-
-
-#: What is replaced in HTML, in order; \xa0 is the no-break space.
-HTML_RULES = [
-    (r"(?is)<script[^>]*>.*?</script\s*>", " "),
-    (r"(?is)<style[^>]*>.*?</style\s*>", " "),
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?i)</?(?:a|abbr|b|big|cite|code|em|font|i|small|span|strong|sub|sup|u)(?:\s[^>]*)?>", ""),
-    (r"<[^>]*>", " "),
-    (r"(?i)&nbsp;|&#160;", " "),
-    (r"&lt;|&#60;", "<"),
-    (r"&gt;|&#62;", ">"),
-    (r"&quot;|&#34;", '"'),
-    (r"&#39;|&apos;", "'"),
-    (r"&amp;|&#38;", "&"),
-    (r"[\s\x{a0}]+", " "),
-]
+    """visible_text() of a column, in Arrow batches: entities and broken markup need a parser, which no built-in function has."""
+    return _visible_texts(html)
 
 
-def best_text(body: Column, html: Column) -> Column:
-    """Stripped plain body if there is one, else stripped text of the HTML, else ''."""
+def best_text(body: Column, html: Column | None = None) -> Column:
+    """Stripped plain body if there is one, else stripped text of the HTML, else ''. Only rows without a body have their HTML
+    parsed."""
     plain = F.regexp_replace(body, r"^\s+|\s+$", "")
-    return F.when(body.rlike(r"\S"), F.substring(strip_replies(plain), 1, BODY_CHARS)).when(html.rlike(r"\S"), strip_replies(html_to_text(html))).otherwise(F.lit(""))
+    out = F.when(body.rlike(r"\S"), F.substring(strip_replies(plain), 1, BODY_CHARS))
+    if html is not None:
+        needed = html_to_text(F.when(F.coalesce(body.rlike(r"\S"), F.lit(False)), F.lit(None)).otherwise(html))
+        out = out.when(html.rlike(r"\S"), strip_replies(needed))
+    return out.otherwise(F.lit(""))
 
 
 def strip_reply_or_head(body: Column) -> Column:
@@ -162,6 +195,11 @@ def to_epoch_millis(received: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), received.cast("timestamp_ntz"))
 
 
+def to_local_time(instant: Column, zone: str) -> Column:
+    """The time of day that clocks in a zone show at an instant given without zone in UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), instant.cast("timestamp_ntz"))
+
+
 def in_days(received: Column, first: str | None, last: str | None) -> Column:
     """Whether a time lies on the days from first to last, both included; either may be left out."""
     out = F.lit(True)

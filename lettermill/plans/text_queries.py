@@ -20,13 +20,19 @@ def strip_sql(column: str) -> str:
 TRIMMED = "regexp_replace(body,'^\\s+|\\s+$','','g')"
 
 
+#: The visible text of the pages' HTML in plain replacements, apart from the parser under test.
+_PLAIN_HTML = [
+    ("<script[^>]*>.*?</script\\s*>", " ", "gsi"), ("<style[^>]*>.*?</style\\s*>", " ", "gsi"), ("<!--.*?-->", "", "gs"),
+    ("</?(a|abbr|b|big|cite|code|em|font|i|small|span|strong|sub|sup|u)(\\s[^>]*)?>", "", "gi"), ("</?[a-zA-Z!][^>]*>", " ", "g"),
+    ("&nbsp;", " ", "g"), ("&lt;", "<", "g"), ("&gt;", ">", "g"), ("&quot;", '"', "g"), ("&copy;", "©", "g"), ("&middot;", "·", "g"), ("&amp;", "&", "g"), ("[\\s\\x{a0}]+", " ", "g"),
+]
+
+
 def html_sql(column: str) -> str:
-    out = f"substr(coalesce({column},''),1,{X.HTML_CHARS})"
-    for pattern, by in X.HTML_RULES:
-        flags = "gs" if "(?s)" in pattern or "(?is)" in pattern else "g"
-        q = lambda s: s.replace("'", "''")
-        out = f"regexp_replace({out}, '{q(pattern)}', '{q(by)}', '{flags}')"
-    return f"substr(trim({out}),1,{X.BODY_CHARS})"
+    out = f"substr(coalesce({column},''),1,100000)"
+    for pattern, by, flags in _PLAIN_HTML:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', '{flags}')"
+    return f"substr(trim({out}),1,50000)"
 
 
 def both(name: str, source: str, spark_columns, sql_columns: str, key: str = "id", more: str = ""):
@@ -47,7 +53,7 @@ both("f5_split_addresses", "emails", lambda: [F.array_join(X.split_addresses(F.c
 both("f6_entry_id", "documents", lambda: [X.entry_id(F.concat(F.col("source"), F.lit(".pst")), F.col("doc_id").cast("string")).alias("entry_id")], "sha256(concat(source,'.pst-',doc_id)) as entry_id", "doc_id")
 both("f7_strip_replies", "emails", lambda: [F.sha2(X.strip_replies(F.col("body")), 256).alias("visible"), F.char_length(X.strip_replies(F.col("body"))).cast("long").alias("chars")], f"sha256({strip_sql('body')}) as visible, length({strip_sql('body')}) as chars")
 both("f8_html_to_text", "pages", lambda: [X.html_to_text(F.col("html")).alias("plain")], f"{html_sql('html')} as plain", "page_id")
-both("f9_best_text", "emails", lambda: [X.best_text(F.col("body"), F.lit(None).cast("string")).alias("best")], f"case when regexp_matches(body,'\\S') then substr({strip_sql(TRIMMED)},1,50000) else '' end as best")
+both("f9_best_text", "emails", lambda: [X.best_text(F.col("body")).alias("best")], f"case when regexp_matches(body,'\\S') then substr({strip_sql(TRIMMED)},1,50000) else '' end as best")
 both("f10_strip_reply_or_head", "emails", lambda: [X.strip_reply_or_head(F.col("body")).alias("visible")], f"trim(coalesce(nullif(trim({strip_sql('body')}),''), substr(body,1,2000))) as visible")
 both("f11_truncate_for_model", "documents", lambda: [X.truncate(F.col("text")).alias("model_text"), X.truncate(F.col("text"), X.CONTEXT_CHARS).alias("context_text")], "substr(text,1,3000) as model_text, substr(text,1,500) as context_text", "doc_id")
 both("f12_folder_path", "documents", lambda: [X.folder_path(F.array(F.when(F.col("doc_id") % 2 == 0, F.lit("TOP of Outlook data file")).otherwise(F.col("source")), F.lit("Inbox"), F.col("lang"))).alias("folder")], "concat(case when doc_id%2=0 then '' else concat(source,' / ') end,'Inbox / ',lang) as folder", "doc_id")

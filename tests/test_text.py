@@ -109,3 +109,36 @@ def test_analysis(spark):
     assert one(spark, lambda c: S.snippet(c, "kész"), t="x" * 500 + " Kész " + "y" * 500).count("<em>Kész</em>") == 1
     assert one(spark, lambda c: S.snippet(c, "nothing"), t="text") == ""
     assert len(S.hungarian_stop_words(spark)) > 100
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (None, ""),
+        ("   ", ""),
+        ("<p>Hello <b>World</b></p>", "Hello World"),
+        ("<html><body><h1>Title</h1><p>Paragraph with <a href='#'>link</a></p></body></html>", "Title Paragraph with link"),
+        ("<p>  text  </p>", "text"),
+        ("Szerz&odblac;d&eacute;s &#233; &#x27;a&#x27; 1 < 2 &amp; 3 > 2", "Szerződés é 'a' 1 < 2 & 3 > 2"),
+        ("a&nbsp;&nbsp;b&#160;c &copy; &lt;b&gt; &unknown; &", "a b c © <b> &unknown; &"),
+        ("<style>p {x: '<b>'}</style>one<script>if (1 < 2) { '</p>' }</script>two<br/>three<!-- <p>no</p> -->four", "one two threefour"),
+        ("<td>a</td><td>b</td><li>c<li>d", "a b c d"),
+        ("un<b>bro</b>ken <a title='x > y'>word</a>", "unbroken word"),
+        ("kept <a href='lost", "kept"),
+        ("if a<b then", "if a"),
+        ("5 <6 and <3", "5 <6 and <3"),
+        ("<div>x</div" , "x"),
+    ],
+)
+def test_html_as_a_reader_sees_it(spark, html, want):
+    assert one(spark, X.html_to_text, t=html) == want
+
+
+def test_html_cap_inside_a_tag(spark):
+    html = "<p>start</p>" + " " * (X.HTML_CHARS - 20) + "<a href='http://long.example'>never</a>"
+    assert one(spark, X.html_to_text, t=html) == "start"
+
+
+def test_local_time(spark):
+    rows = spark.sql("select timestamp_ntz'2026-01-01 10:00:00' as w, timestamp_ntz'2026-07-01 10:00:00' as s")
+    assert [str(x) for x in rows.select(X.to_local_time(F.col("w"), "Europe/Budapest"), X.to_local_time(F.col("s"), "Europe/Budapest")).first()] == ["2026-01-01 11:00:00", "2026-07-01 12:00:00"]
