@@ -22,19 +22,43 @@ def _words(column: str) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({column},'')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x<>'' and x not in ({_STOP}))"
 
 
-_VIEWS = " union all ".join(
-    f"select message_key as doc, '{f}{a}' as field, {'translate(' if a else ''}unnest({_words(c)}){(', ' + chr(39) + S.ACCENTED + chr(39) + ', ' + chr(39) + S.PLAIN + chr(39) + ')') if a else ''} as term from ix"
-    for f, c in (("subject", "subject"), ("body", "body_delta"), ("sender_name", "sender_name"))
-    for a in ("", ".ascii")
+# Fixed values, written out for the SQL: endings of the light stemmer by step, and what may be left.
+_ENDINGS = [
+    "ként képp kor ból ből ban ben hoz hez höz nak nek val vel ról ről tól től nál nél ért ba be ra re ig ul ül on en ön ot et öt at n t",
+    "jaink jeink aink eink jaik jeik unk ünk tok tek tök juk jük ja je om em öm am od ed öd ad uk ük a e m d",
+    "ak ek ok ök ák ék k",
+]
+
+
+def stem_sql(word: str) -> str:
+    """The word without at most one ending of each step, as nested cases; the last letter's length falls at the end."""
+    out = word
+    steps = []
+    for k, endings in enumerate(_ENDINGS):
+        cases = " ".join(f"when ends_with({out},'{e}') and length({out})>={len(e) + 3} and regexp_matches(left({out},length({out})-{len(e)}),'[aáeéiíoóöőuúüű]') then left({out},length({out})-{len(e)})" for e in endings.split())
+        steps.append(f"case {cases} else {out} end as s{k}")
+        out = f"s{k}"
+    inner = f"select word, {steps[0]} from (select distinct word from wd)"
+    for step in steps[1:]:
+        inner = f"select word, {step} from ({inner})" if "s0" not in step else f"select *, {step} from ({inner})"
+    return f"select word, case right({out},1) when 'á' then concat(left({out},length({out})-1),'a') when 'é' then concat(left({out},length({out})-1),'e') else {out} end as stem from (select * from ({inner}))"
+
+
+_WORDS = " union all ".join(f"select message_key as doc, '{f}' as field, unnest({_words(c)}) as word from ix" for f, c in (("subject", "subject"), ("body", "body_delta"), ("sender_name", "sender_name")))
+_FOLDED = f"translate(word, '{S.ACCENTED}', '{S.PLAIN}')"
+POSTINGS = (
+    INDEX
+    + f", wd as ({_WORDS}), vo as ({stem_sql('word')}), po as (select doc, field, stem as term, count(*) as tf from wd join vo using(word) group by 1,2,3"
+    + f" union all select doc, concat(field,'.ascii') as field, {_FOLDED} as term, count(*) as tf from wd group by 1,2,3)"
 )
-POSTINGS = INDEX + f", po as (select doc, field, term, count(*) as tf from ({_VIEWS}) group by 1,2,3)"
 STATS = POSTINGS + ", df as (select field, term, count(*) as df from po group by 1,2), ln as (select doc, field, sum(tf) as len from po group by 1,2), fl as (select field, count(*) as docs, sum(len)::double/count(*) as avg_len from ln group by 1)"
 
 
 def ranked_sql(terms: str, k: int, where: str = "true") -> str:
+    """terms: the condition on field and term that a posting of the query fulfils."""
     weights = " ".join(f"when '{f}' then {w}e0" for f, w in S.WEIGHTS.items())
     bm = f"ln(1e0+(docs-df+0.5e0)/(df+0.5e0))*tf*{S.K1 + 1}e0/(tf+{S.K1}e0*({1 - S.B}e0+{S.B}e0*len::double/avg_len))"
-    return f"select doc, cast(round(max(s),6) as double) as score from (select doc, field, sum({bm}*(case field {weights} end)) as s from po join df using(field, term) join ln using(doc, field) join fl using(field) where term in ({terms}) and doc in (select message_key from ix where {where}) group by 1,2) group by doc order by score desc, doc limit {k}"
+    return f"select doc, cast(round(max(s),6) as double) as score from (select doc, field, sum({bm}*(case field {weights} end)) as s from po join df using(field, term) join ln using(doc, field) join fl using(field) where ({terms}) and doc in (select message_key from ix where {where}) group by 1,2) group by doc order by score desc, doc limit {k}"
 
 
 def index(spark, sf):
@@ -42,10 +66,10 @@ def index(spark, sf):
 
 
 def searchable(spark, sf):
-    """The index, its postings and sizes as stored tables, as a search job finds them."""
+    """The index, its postings and view statistics as stored tables, as a search job finds them."""
     i = stored(index(spark, sf), "index")
     post = stored(S.postings(i, STOP), "postings", "term")
-    return i, post, stored(S.lengths(post), "lengths")
+    return i, post, stored(S.corpus_stats(post)[1], "fields")
 
 
 @query("s8_write_email_index", m_sql("select message_key, mail_id, subject, sha256(body_delta) as body_hash, sender_key, owner, thread_id, epoch_us(received)//1000 as received_ms from ix", more=INDEX))
@@ -55,13 +79,12 @@ def s8(spark, sf):
 
 @query("d7_index_emails", m_sql("select doc, field, term, tf from po", more=POSTINGS))
 def d7(spark, sf):
-    return S.postings(index(spark, sf), STOP)
+    return S.postings(index(spark, sf), STOP).select("doc", "field", "term", "tf")
 
 
 @query("a21_corpus_stats", m_sql("select field, docs, round(avg_len,6) as avg_len, (select count(*) from df where df.field=fl.field) as terms from fl", more=STATS))
 def a21(spark, sf):
-    _, post, sizes = searchable(spark, sf)
-    terms, fields = S.corpus_stats(post, sizes)
+    terms, fields = S.corpus_stats(stored(S.postings(index(spark, sf), STOP), "postings", "term"))
     return fields.join(terms.groupBy("field").agg(F.count(F.lit(1)).alias("terms")), "field").select("field", "docs", F.round("avg_len", 6).alias("avg_len"), "terms")
 
 
@@ -70,9 +93,9 @@ def f16(spark, sf):
     return index(spark, sf).select(F.col("message_key").alias("doc"), F.array_join(S.tokenize_folded(F.col("subject"), STOP), " ").alias("words"))
 
 
-@query("f16_tokenize_stemmed")
+@query("f16_tokenize_stemmed", m_sql("select doc as message_key, term, tf from po where field='body'", more=POSTINGS))
 def f16b(spark, sf):
-    return S.tokenize_stemmed(index(spark, sf), "body_delta", S.hungarian_stop_words(spark), "message_key")
+    return S.tokenize_stemmed(index(spark, sf), "body_delta", STOP, "message_key")
 
 
 QUERY = ["onand", "reth", "user"]
@@ -86,37 +109,49 @@ def f17(spark, sf):
     return S.fuzzy_terms(S.postings(index(spark, sf), STOP).select("term").distinct(), ["onand", "reth", "thered"])
 
 
-TERMS = ["ertion", "oued", "user"]
-_TERMS = ",".join(f"'{t}'" for t in TERMS)
+# A query with an inflected word, a stop word and accents, and its terms by hand.
+SEARCH = "The ERTIONBAN, ouedból users lónek"
+_MAIN, _ASCII = "'ertion','oue','users','lón'", "'ertionban','ouedbol','users','lonek'"
+MATCH = f"case when ends_with(field,'.ascii') then term in ({_ASCII}) else term in ({_MAIN}) end"
 
 
-@query("f18_rank_text", m_sql(ranked_sql(_TERMS, 20), more=STATS))
+def _near(words: dict[str, int]) -> str:
+    return " or ".join(f"(left(term,2)='{w[:2]}' and levenshtein(regexp_replace(term,'[^\\x00-\\x7F]','#','g'),'{w}')<={k})" for w, k in words.items())
+
+
+FUZZY = f"case when ends_with(field,'.ascii') then {_near({'ertoin': 2, 'oued': 1})} else {_near({'ertoi': 1, 'oue': 1})} end"
+
+
+@query("f18_rank_text", m_sql(ranked_sql(MATCH, 20), more=STATS))
 def f18(spark, sf):
-    i, post, sizes = searchable(spark, sf)
-    return S.rank_text(i, post, TERMS, 20, sizes=sizes)
+    i, post, fields = searchable(spark, sf)
+    return S.rank_text(i, post, SEARCH, STOP, 20, fuzzy=False, fields=fields)
 
 
-@query("f18_rank_text_filtered", m_sql(ranked_sql(_TERMS, 20, "owner='src1' and received >= date '2024-01-01'"), more=STATS))
+@query("f18_rank_text_filtered", m_sql(ranked_sql(MATCH, 20, "owner='src1' and received >= date '2024-01-01'"), more=STATS))
 def f18b(spark, sf):
-    i, post, sizes = searchable(spark, sf)
-    return S.rank_text(i, post, TERMS, 20, sizes=sizes, where=(F.col("owner") == "src1") & (F.col("received") >= F.lit("2024-01-01").cast("date")))
+    i, post, fields = searchable(spark, sf)
+    return S.rank_text(i, post, SEARCH, STOP, 20, fuzzy=False, fields=fields, where=(F.col("owner") == "src1") & (F.col("received") >= F.lit("2024-01-01").cast("date")))
 
 
-@query("f18_rank_text_fuzzy")
+@query("f18_rank_text_fuzzy", m_sql(ranked_sql(FUZZY, 20), more=STATS))
 def f18c(spark, sf):
-    i, post, sizes = searchable(spark, sf)
-    return S.rank_text(i, post, ["ertoin", "oued"], 20, fuzzy=True, sizes=sizes)
+    i, post, fields = searchable(spark, sf)
+    return S.rank_text(i, post, "ertoin oued", STOP, 20, fields=fields)
+
+
+_AT = "greatest(strpos(lower(body_delta),'the')-100,1)"
 
 
-@query("f19_snippet")
+@query("f19_snippet", m_sql(f"select message_key, case when strpos(lower(body_delta),'the')>0 then regexp_replace(substr(body_delta,{_AT},200),'(the)','<em>\\1</em>','gi') else '' end as snippet from ix", more=INDEX))
 def f19(spark, sf):
     return index(spark, sf).select("message_key", S.snippet(F.col("body_delta"), "the").alias("snippet"))
 
 
-@query("p11_search_result_view", m_sql(f"select r.doc, coalesce(subject,'') as subject, coalesce(sender_name,'') as sender_name, owner, r.score from ({ranked_sql(_TERMS, 10)}) r join ix on r.doc=ix.message_key", more=STATS))
+@query("p11_search_result_view", m_sql(f"select r.doc, coalesce(subject,'') as subject, coalesce(sender_name,'') as sender_name, owner, r.score from ({ranked_sql(MATCH, 10)}) r join ix on r.doc=ix.message_key", more=STATS))
 def p11(spark, sf):
-    i, post, sizes = searchable(spark, sf)
-    return S.search_result_view(S.rank_text(i, post, TERMS, 10, sizes=sizes), i, "ertion").select("doc", "subject", "sender_name", "owner", "score")
+    i, post, fields = searchable(spark, sf)
+    return S.search_result_view(S.rank_text(i, post, SEARCH, STOP, 10, fuzzy=False, fields=fields), i, "ertion").select("doc", "subject", "sender_name", "owner", "score")
 
 
 @query("x3_delete_by_email", m_sql("select mail_id from ix where mail_id not in (select id from m where seq%3=0)", more=INDEX))
