@@ -8,7 +8,9 @@ from lettermill.operators import catalog as C
 from lettermill.plans.mail_queries import TS, mails, ts
 from lettermill.plans.registry import query
 from lettermill.sources.fixtures import duckdb, table
+from lettermill.sources import files as files_
 from lettermill.sources.files import ingest_nas_hits
+from lettermill.sources.stored import fresh_path
 
 ROOTS = ["/mnt/nas"]
 
@@ -161,3 +163,57 @@ def j29(spark, sf):
 @query("file_catalog_newest", sql(f"select id, {TS.format('last_modified')} as last_modified from file_catalog order by file_catalog.last_modified desc, id limit 1000"))
 def newest(spark, sf):
     return files(spark, sf).orderBy(F.desc("last_modified"), "id").limit(1000).select("id", ts("last_modified").alias("last_modified"))
+
+
+# ---- files: the documents' texts, written as a file for each source and language, then listed and read
+
+FILES = "f as (select source, lang, cast(sum(octet_length(encode(coalesce(text,'')))+1) as bigint) as size from documents group by 1,2)"
+
+
+def written_files(spark, sf) -> str:
+    root = fresh_path(spark, "files")
+    texts = table(spark, sf, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("value"))
+    texts.repartition("source", "lang").write.partitionBy("source", "lang").text(root)
+    return root
+
+
+def _named(found):
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    return found.groupBy(part("source"), part("lang")).agg(F.sum("size").alias("size"))
+
+
+@query("s1_scan_mail_files", duckdb("select source, lang, size, 'New' as status from f where source<>'src1'", more=FILES))
+def s1(spark, sf):
+    root = written_files(spark, sf)
+    bare = root.removeprefix("file://").removeprefix("file:")
+    found = files_.scan_mail_files(spark, [root], [f"{bare}/source=src1", f"{bare}/source=src"], "*.txt")
+    return _named(found.where("status = 'New'")).withColumn("status", F.lit("New"))
+
+
+@query("s2_scan_directory_index", duckdb("select source, lang, size from f where lang<>'de'", more=FILES))
+def s2(spark, sf):
+    return _named(files_.scan_directory_index(spark, written_files(spark, sf), ["lang=de"]))
+
+
+@query("s3_read_path_list", duckdb("select path from file_catalog", "file_catalog"))
+def s3(spark, sf):
+    path = fresh_path(spark, "list")
+    files(spark, sf).select(F.explode(F.array(F.concat(F.lit("  "), "path", F.lit(" ")), F.lit("   "))).alias("value")).write.text(path)
+    return files_.read_path_list(spark, path)
+
+
+@query("s6_read_attachment_bytes", duckdb("select concat(source,'/',lang) as hash, size from f", more=FILES))
+def s6(spark, sf):
+    found = files_.scan_mail_files(spark, [written_files(spark, sf)], pattern="*.txt")
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    wanted = found.select(F.concat_ws("/", part("source"), part("lang")).alias("hash"), F.col("path").alias("local_path"))
+    # a file with many names is read once
+    read = files_.read_attachment_bytes(wanted.unionByName(wanted))
+    return read.select("hash", F.octet_length("content").cast("long").alias("size"))
+
+
+@query("s11_export_file_list", duckdb("select concat_ws(chr(9), path, size, strftime(last_modified,'%Y-%m-%d %H:%M:%S')) as line from file_catalog", "file_catalog"))
+def s11(spark, sf):
+    path = fresh_path(spark, "export")
+    files_.export_file_list(files(spark, sf), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")

@@ -173,13 +173,54 @@ def as_changes(events):
     return events.select(F.concat(F.lit("u"), "user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("props").alias("subject"))
 
 
-@query("x1_sync_index", duckdb("select id, seq, op, subject from ch qualify row_number() over(partition by id order by seq desc)=1", more=CHANGES))
+CHANGED = "id string, seq long, op string, subject string"
+LATEST = duckdb("select id, seq, op, subject from ch qualify row_number() over(partition by id order by seq desc)=1", more=CHANGES)
+
+
+@query("x1_sync_index", LATEST)
 def x1(spark, sf):
     path = fresh_path(spark, "sync")
     events = index_sync.change_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
-    stream = index_sync.sync_index(as_changes(events), f"{path}/index", f"{path}/checkpoint")
-    stream.awaitTermination()
-    return index_sync.VersionedIndex(spark, f"{path}/index").read("id string, seq long, op string, subject string")
+    index_sync.sync_index(as_changes(events), f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    return index_sync.read_index(spark, f"{path}/index", CHANGED)
+
+
+@query("x2_stream_resume", LATEST)
+def x2(spark, sf):
+    """The newer half of the changes arrives first, the older one after the stream was stopped, and the index is compacted."""
+    path = fresh_path(spark, "resume")
+    events = table(spark, sf, "events")
+    middle = events.select(F.percentile_approx("event_id", 0.5).alias("m"))
+    for newer in (True, False):
+        events.join(F.broadcast(middle), (F.col("event_id") > F.col("m")) == F.lit(newer)).drop("m").write.mode("append").parquet(f"{path}/in")
+        stream = index_sync.change_stream(spark, f"{path}/in", events.schema, files_per_batch=4)
+        index_sync.sync_index(as_changes(stream), f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    index_sync.compact_index(spark, f"{path}/index", f"{path}/compact", CHANGED)
+    return index_sync.read_index(spark, f"{path}/compact", CHANGED)
+
+
+def _logs(spark, sf, path, level):
+    """The log as a stream of files, its rows of a level stored; gives the finished stream."""
+    log = table(spark, sf, "log_entries")
+    log.write.parquet(f"{path}/in")
+    stream = index_sync.observed(index_sync.tail_logs(spark.readStream.schema(log.schema).parquet(f"{path}/in"), level))
+    told = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    told.awaitTermination()
+    return told
+
+
+@query("x5_tail_logs", duckdb("select seq, level, message from log_entries where level='WARN'", "log_entries"))
+def x5(spark, sf):
+    path = fresh_path(spark, "logs")
+    _logs(spark, sf, path, "WARN")
+    return spark.read.parquet(f"{path}/out").select("seq", "level", "message")
+
+
+@query("x6_stream_progress", duckdb("select count(*) as processed from log_entries where level='ERROR'", "log_entries"))
+def x6(spark, sf):
+    done = _logs(spark, sf, fresh_path(spark, "logs"), "ERROR")
+    n = sum(p.observedMetrics["progress"]["processed"] for p in done.recentProgress if "progress" in p.observedMetrics)
+    return spark.createDataFrame([(n,)], "processed long")
 
 
 @query("x1_live_index", duckdb("select id, subject from (select * from ch qualify row_number() over(partition by id order by seq desc)=1) where op<>'delete'", more=CHANGES))

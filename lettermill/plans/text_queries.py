@@ -67,6 +67,9 @@ both("f23_to_epoch_millis", "emails", lambda: [X.to_epoch_millis(F.col("received
 both("f30_md_figures", "markdown_docs", lambda: [F.array_join(X.md_figures(F.col("markdown")), "|").alias("figures")], "concat('fig|g', seq%3, '.png') as figures", "seq")
 
 
+both("f23_to_local_time", "emails", lambda: [F.date_format(X.to_local_time(F.col("received"), "Europe/Budapest"), "yyyy-MM-dd HH:mm:ss").alias("local_time")], "strftime((received at time zone 'UTC') at time zone 'Europe/Budapest', '%Y-%m-%d %H:%M:%S') as local_time")
+
+
 @query("f24_date_range", duckdb("select id from emails where received >= date '2024-01-02' and received < date '2024-01-03'", "emails"))
 def f24(spark, sf):
     return table(spark, sf, "emails").where(X.in_days(F.col("received"), "2024-01-02", "2024-01-02")).select("id")

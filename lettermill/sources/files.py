@@ -7,6 +7,8 @@ import email.policy
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,12 +98,19 @@ def message_attachments(mails: DataFrame) -> DataFrame:
     return rows.withColumn("hash", X.content_hash(F.col("content")))
 
 
-def read_attachment_bytes(spark: SparkSession, attachments: DataFrame, root: str) -> DataFrame:
-    """Contents of stored attachments (hash, local_path): one read for each hash, below one root folder."""
+def read_attachment_bytes(attachments: DataFrame) -> DataFrame:
+    """Contents of stored attachments (hash, local_path): one read for each hash, of the wanted files only, dealt over the tasks.
+    Paths are of a file system that all tasks see; a missing file is an error."""
     wanted = attachments.groupBy("hash").agg(F.min("local_path").alias("local_path"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), "^[a-z]+:(//)?(?=/)", "")
-    return files.select(path.alias("local_path"), "content").join(wanted, "local_path").select("hash", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, path in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                where, base = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+                with where.open_input_stream(base) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([f.read()], pa.binary())], names=["hash", "content"])
+
+    return wanted.mapInArrow(run, "hash string, content binary")
 
 
 def read_log_table(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHANGE = "id string, seq long, op string, subject string, body string"
 
@@ -14,15 +16,8 @@ def change_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.pa
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
-    """The change with the largest seq of each id."""
-    w = Window.partitionBy("id").orderBy(F.desc("seq"))
-    return changes.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-
-
-def merge_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
-    """Index rows (id, seq, op, ...) after changes. The largest seq of an id wins, whenever it arrives; a delete stays as a
-    tombstone, so an older change that comes late cannot bring the row back."""
-    return latest_changes(index.unionByName(changes.select(*index.columns)))
+    """The change with the largest seq of each id: an aggregate, so the many changes of one id meet before the exchange."""
+    return changes.groupBy("id").agg(F.max_by(F.struct(*changes.columns), "seq").alias("c")).select("c.*")
 
 
 def live(index: DataFrame) -> DataFrame:
@@ -30,45 +25,32 @@ def live(index: DataFrame) -> DataFrame:
     return index.where("op <> 'delete'")
 
 
-class VersionedIndex:
-    """An index as Parquet folders, one for each version; `current` names the newest. A version holds the number of the batch
-    that made it, so a batch that is replayed after a failure changes nothing."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+def apply_changes(changes: DataFrame, path: str, batch: int) -> None:
+    """Store a batch's latest changes in a folder of its own. Nothing stored is read or rewritten, so a batch costs what it
+    holds; one that is replayed after a failure takes its own place."""
+    latest_changes(changes).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+def read_index(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Index rows (id, seq, op, ...) after all stored batches. The largest seq of an id wins, whenever it arrived; a delete stays
+    as a tombstone, so an older change that comes late cannot bring the row back. Without a batch there are none."""
+    try:
+        rows = spark.read.schema(schema).parquet(path).drop("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return latest_changes(rows)
 
-    def read(self, schema) -> DataFrame:
-        found = self.versions()
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v={found[-1]:08d}")
 
-    def apply(self, changes: DataFrame, batch: int) -> None:
-        """Write version `batch` from the version before it; a version that is complete is left alone."""
-        found = self.versions()
-        if batch in found:
-            return
-        before = [v for v in found if v < batch]
-        old = self.spark.read.schema(changes.schema).parquet(f"{self.path}/v={before[-1]:08d}") if before else self.spark.createDataFrame([], changes.schema)
-        merge_changes(old, changes).write.mode("overwrite").parquet(f"{self.path}/v={batch:08d}")
+def compact_index(spark: SparkSession, path: str, to: str, schema: str | T.StructType) -> None:
+    """The index as one batch of another folder, tombstones included; later batches may go on there."""
+    read_index(spark, path, schema).write.mode("overwrite").parquet(f"{to}/batch=-1")
 
 
 def sync_index(changes: DataFrame, index_path: str, checkpoint: str):
     """Start the sync over what has arrived; a later start with the same checkpoint goes on after the last batch."""
-    index = VersionedIndex(changes.sparkSession, index_path)
-    return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, batch: index.apply(df, batch)).start()
+    return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, batch: apply_changes(df, index_path, batch)).start()
 
 
 def tail_logs(logs: DataFrame, level: str | None = None) -> DataFrame:
