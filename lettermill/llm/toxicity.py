@@ -6,14 +6,18 @@ value but does not end the match. Words are taken with boundary marks and withou
 depends on their length. Landmarks are words of the training rows; the Nyström map makes a vector of the kernel values of
 a word and the landmarks.
 
-Labels belong to documents, insults to single words: a sentence scores as its strongest word, a document as its strongest
-sentence, and the machine is trained in rounds (multiple instances), each taking the strongest words of each labelled
-row's sentences as its instances. Since a kernel value with a fixed landmark is a sum over the word's subsequences, the
-trained machine folds into one weight for each subsequence, exactly, and scoring never touches the landmarks again.
+Labels belong to documents, insults to a few of their sentences: sentences are the instances of multiple-instance training. A
+sentence is represented by its strongest word window, a document scores as its strongest sentence. The first ranking is the
+ratio of kernel densities around a word, of the toxic rows' words and the clean rows'; each round then takes the strongest
+sentences of each labelled row, toxic rows further ones on their side of the margin, and trains the machine on them; an
+instance that a clean row gave is clean wherever it stands. Since a kernel value with a fixed landmark is a sum over the
+word's subsequences, the trained machine folds into one weight for each subsequence, exactly, and scoring never touches the
+landmarks again.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -34,11 +38,17 @@ LANDMARKS = 240
 DECAY = 0.7
 #: Longest span of a subsequence, by its length: up to two and three inserted characters.
 SPANS = {3: 5, 4: 7}
-#: A word of a toxic row is an instance, in place of the row's strongest word, from these log-odds and this share of toxic rows on.
-ODDS = 3.0
-SHARE = 0.01
+#: Strongest sentences that a clean row gives a round.
+CLEAN_SENTENCES = 4
 PENALTY = 1e-5
 ROUNDS = 6
+#: Rounds that choose landmarks anew, and the value from which further windows of a toxic row's sentences are instances.
+LANDMARK_ROUNDS = 3
+MARGIN = 0.5
+#: Share of the median density that both densities of the first ranking have at least.
+FLOOR = 0.05
+#: Weight of the same word beside its likes in that ranking.
+SELF = 10.0
 COPY_MINIMA = 12
 #: A longer word counts as overlapping parts of this many symbols.
 LONGEST_WORD = 32
@@ -142,10 +152,10 @@ def values(words: list[str], table: np.ndarray) -> np.ndarray:
 
 
 def by_length(words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """First parts of words as blocks of one length: (places in words, words x length)."""
+    """All parts of words as blocks of one length: (places in words, words x length)."""
     groups: dict[int, tuple[list[int], list[list[int]]]] = {}
     for i, w in enumerate(words):
-        for s in parts(w)[:1]:
+        for s in parts(w):
             at, rows = groups.setdefault(len(s), ([], []))
             at.append(i)
             rows.append(s)
@@ -175,7 +185,7 @@ def _kernel(words: list[str], known: np.ndarray, landmarks: np.ndarray) -> np.nd
     for at, block in by_length(words).values():
         codes, weights = occurrences(block)
         for i in range(0, len(at), 64):
-            out[at[i : i + 64]] = np.einsum("k,nkm->nm", weights, by_code[place[codes[i : i + 64]]], optimize=True)
+            np.add.at(out, at[i : i + 64], np.einsum("k,nkm->nm", weights, by_code[place[codes[i : i + 64]]], optimize=True))
     return out
 
 
@@ -241,10 +251,19 @@ def spelt(words: list[str]) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
+    """The words that a sentence or a text is read as: its own and spelt ones."""
     words = text.lower().split()
     return words + spelt(words)
 
 
+SENTENCE = re.compile(r"[.!?]+\s+|\n+")
+
+
+def sentences_of(text: str) -> list[list[str]]:
+    """The words of each sentence; dots within a word end none."""
+    return [w for w in map(words_of, SENTENCE.split(text)) if w]
+
+
 def distinct_rows(texts: list[str]) -> list[int]:
     """Rows without near copies of earlier ones, by COPY_MINIMA minima over hashes of four words in a row: what a copied text says by
     chance would else count as often as it was copied."""
@@ -269,28 +288,45 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
         share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
         return ToxicityModel(np.zeros(CODES, dtype=np.float32), 0.0, float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    bags = [sorted(set(words_of(t))) for t in texts]
-    vocabulary = sorted({w for b in bags for w in b if parts(w)})
+    sentences = [sentences_of(t) for t in texts]
+    vocabulary = sorted({w for rows in sentences for words in rows for w in words if parts(w)})
     index = {w: i for i, w in enumerate(vocabulary)}
-    held = [np.array([index[w] for w in b if w in index], dtype=np.int64) for b in bags]
+    # for each row its sentences' words, and where each sentence begins among them
+    held, starts = [], []
+    for rows in sentences:
+        told = [x for x in (np.unique([index[w] for w in words if w in index]).astype(np.int64) for words in rows) if len(x)]
+        held.append(np.concatenate(told) if told else np.zeros(0, dtype=np.int64))
+        starts.append(np.cumsum([0, *map(len, told)])[:-1])
     rows = [k for k in range(len(y)) if len(held[k])]
-    seen = np.zeros((2, len(vocabulary)))
-    for words, label in zip(held, y, strict=True):
-        seen[label][words] += 1
-    odds = np.log((seen[1] + 0.5) / (y == 1).sum()) - np.log((seen[0] + 0.5) / (y == 0).sum())
-    often = max(3, SHARE * (y == 1).sum())
-    value, made = odds, blocks(vocabulary)
+    made = blocks(vocabulary)
+    # the first ranking: how much denser the toxic rows' words lie around a word than the clean rows', by the kernel's means
+    seen = np.zeros((2, len(vocabulary)), dtype=np.float32)
+    for k in rows:
+        seen[y[k], np.unique(held[k])] += 1
+    seen /= np.maximum(np.bincount(y[rows], minlength=2), 1)[:, None]
+    means = np.zeros((2, CODES), dtype=np.float32)
+    for at, block in made:
+        codes, weights = occurrences(block.astype(np.int32))
+        for label in (0, 1):
+            np.add.at(means[label], codes, weights * seen[label, at][:, None])
+    dense = [valued(len(vocabulary), made, m) + SELF * words for m, words in zip(means, seen, strict=True)]
+    least = FLOOR * np.median(dense[0])
+    value = np.log(dense[1] + least) - np.log(dense[0] + least)
     landmarks: list[str] = []
     clean = np.zeros(len(vocabulary))
-    table = np.zeros(CODES, dtype=np.float32)
     for turn in range(ROUNDS):
         strongest = []
         for k in rows:
-            mine = held[k]
-            first = mine[np.argsort(-value[mine], kind="stable")[: 1 if y[k] else 4]]
-            told = mine[(odds[mine] >= ODDS) & (seen[1][mine] >= often)] if y[k] else first
-            strongest.append(told if len(told) else first)
-        if turn < 2:  # landmarks: the words taken for insults most often, strong words of clean rows, and any words
+            # a sentence's instance is its strongest word window; in a toxic row's, others beyond the margin count too
+            mine, v = held[k], value[held[k]]
+            top = np.maximum.reduceat(v, starts[k])
+            if y[k]:
+                limit = min(top.max(), MARGIN) if turn else top.max()
+                strongest.append(np.unique(mine[v >= limit]))
+            else:
+                word = mine[[s + int(v[s:e].argmax()) for s, e in zip(starts[k], np.append(starts[k][1:], len(mine)), strict=True)]]
+                strongest.append(np.unique(word[np.argsort(-top, kind="stable")[:CLEAN_SENTENCES]]))
+        if turn < LANDMARK_ROUNDS:  # landmarks: the words taken for insults most often, strong words of clean rows, and any words
             taken = np.bincount(np.concatenate([s for k, s in zip(rows, strongest, strict=True) if y[k]]), minlength=len(vocabulary))
             first = np.argsort(-taken, kind="stable")[: LANDMARKS // 2]
             rival = np.unique(np.concatenate([s for k, s in zip(rows, strongest, strict=True) if not y[k]] or [np.zeros(0, dtype=np.int64)]))
@@ -301,7 +337,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
             e, v = np.linalg.eigh((phi @ phi.T).astype(np.float64))
             large = e > 1e-6 * e.max()
             root = v[:, large] / np.sqrt(e[large])
-        # a word that a clean row ever gave is clean, in whatever toxic row it may stand; clean ones add up over the rounds
+        # clean instances add up over the rounds; an instance that a clean row ever gave is clean, in whatever toxic row it stands
         for k, words in zip(rows, strongest, strict=True):
             if not y[k]:
                 clean[words] += 1
@@ -309,8 +345,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
         toxic = np.bincount(np.concatenate([s for k, s in zip(rows, strongest, strict=True) if y[k]]), minlength=len(vocabulary)).astype(np.float64)
         toxic[clean > 0] = 0
         words = np.concatenate([np.flatnonzero(toxic), np.flatnonzero(clean)])
-        label = np.where(toxic[words] > 0, 1.0, -1.0)
-        weight = np.sqrt(np.where(label > 0, toxic[words], clean[words]))
+        label = np.concatenate([np.ones((toxic > 0).sum()), -np.ones((clean > 0).sum())])
+        weight = np.sqrt(np.concatenate([toxic[toxic > 0], clean[clean > 0]]))
         weight /= np.where(label > 0, weight[label > 0].sum(), weight[label < 0].sum())
         z = _kernel([vocabulary[i] for i in words], codes, phi) @ root
         beta, bias = _machine(z, label, weight)
