@@ -269,10 +269,13 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
         share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
         return ToxicityModel(np.zeros(CODES, dtype=np.float32), 0.0, float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    bags = [sorted(set(words_of(t))) for t in texts]
+    known: dict[str, str] = {}  # a word is held once, however many rows have it
+    bags = [sorted({known.setdefault(w, w) for w in words_of(t)}) for t in texts]
+    known.clear()
     vocabulary = sorted({w for b in bags for w in b if parts(w)})
     index = {w: i for i, w in enumerate(vocabulary)}
     held = [np.array([index[w] for w in b if w in index], dtype=np.int64) for b in bags]
+    del bags, index
     rows = [k for k in range(len(y)) if len(held[k])]
     seen = np.zeros((2, len(vocabulary)))
     for words, label in zip(held, y, strict=True):
