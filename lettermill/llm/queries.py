@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, decontam, embedding_dedup, oracles, packing, quality, secret_scan, simhash, token_output, toxicity, warc
+from lettermill.llm import bpe, centroids, chat, decontam, embedding_dedup, oracles, packing, quality, secret_scan, simhash, token_output, toxicity, warc, whitening
 
 
 def _rest(mod: int):
@@ -83,9 +83,31 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flagged(docs, items).withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading components of all embeddings, whitened."""
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary), vocabulary)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings after five rounds from forty vectors."""
+    out = centroids.cluster_report(*centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return out.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_packing, op3_quality, op4_token_output, op5_embedding_dedup, op6_secret_scan, op7_simhash, op8_warc, op9_chat, op10_decontam)
+    for f in (op1_toxicity, op2_packing, op3_quality, op4_token_output, op5_embedding_dedup, op6_secret_scan, op7_simhash, op8_warc, op9_chat, op10_decontam, op11_whitening, op12_byte_bpe, op13_centroids)
 }
 
 #: SQL, where it can express the query.
