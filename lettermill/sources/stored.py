@@ -46,6 +46,13 @@ def stored(df: DataFrame, label: str, cluster_by: str | None = None) -> DataFram
     return written(out, fresh_path(df.sparkSession, label))
 
 
+def hand_over(frame: DataFrame, to: DataFrame) -> None:
+    """From now on discard(to) deletes the table of frame, which `to` reads."""
+    path = _paths.pop(frame, None)
+    if path is not None:
+        _paths[to] = path
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of tables from stored() that nothing will read any more; other frames are left alone. Where the
     folder's file system has no driver here, the files stay."""
