@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 #: Characters that are split and tokens that are decoded at once; a longer document is a chunk of its own when split.
 CHUNK = 1 << 19
 #: Characters of pieces that the cache holds before it starts anew.
-CACHE_CHARS = 1 << 23
+CACHE_CHARS = 1 << 22
 #: Bytes of a piece up to which the pairs are searched for the smallest rank; longer pieces have a heap.
 SHORT_PIECE = 64
 #: Characters that one row of the scan reads before rows are combined.
@@ -319,18 +319,21 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", starts_col
         place = np.cumsum(length) - length
         blob = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), dtype=np.uint8)
         for batch in batches:
-            out: list[bytes | None] = []
-            for tokens, places in zip(batch.column(i), batch.column(j), strict=True):
-                if tokens.values is None or places.values is None:
-                    out.append(None)
-                    continue
-                ids, starts = tokens.values.to_numpy(zero_copy_only=False), places.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(length) or not length[ids].all()):
-                    raise ValueError("an id that the vocabulary does not have")
-                base = starts[0] if len(starts) else 0
-                if len(ids) != len(starts) or (len(ids) and (np.diff(starts) != length[ids[:-1]]).any()):
-                    raise ValueError("starts do not fit the ids")
-                out.append(decoded_bytes(ids, starts - base, int(length[ids].sum()), blob, place, length))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
+            lists = batch.column(i)
+            for a, b in _chunks(np.diff(np.asarray(lists.offsets)).tolist()):
+                part = batch.slice(a, b - a)
+                out: list[bytes | None] = []
+                for tokens, places in zip(part.column(i), part.column(j), strict=True):
+                    if tokens.values is None or places.values is None:
+                        out.append(None)
+                        continue
+                    ids, starts = tokens.values.to_numpy(zero_copy_only=False), places.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    if len(ids) and (ids.min() < 0 or ids.max() >= len(length) or not length[ids].all()):
+                        raise ValueError("an id that the vocabulary does not have")
+                    if len(ids) != len(starts) or (len(ids) and (np.diff(starts) != length[ids[:-1]]).any()):
+                        raise ValueError("starts do not fit the ids")
+                    base = starts[0] if len(starts) else 0
+                    out.append(decoded_bytes(ids, starts - base, int(length[ids].sum()), blob, place, length))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
 
     return encoded.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.BinaryType())]))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lettermill.sources.stored import discard, fresh_path, written
+from lettermill.sources.stored import discard, fresh_path, hand_over, written
 
 #: Rows of one bucket that one task compares with each other at once; larger buckets are cut into blocks of this size.
 BLOCK_ROWS = 1024
@@ -166,7 +166,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or mark[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            hand_over(edges, out)  # discard() of the result deletes the table
+            return out
         before, old = mark, edges
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))

@@ -330,6 +330,6 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     told = rooted.select("vector", "node", "copies", "root").join(least, "root").join(counted, "node", "left")
     told = staged(told.select("vector", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")), "told")
-    discard(classes, decoded, shared, kept, met, single, found)
+    discard(classes, decoded, shared, kept, met, single, found, roots)
     linked = ids.where("vector is not null").join(told, "vector").select("id", F.col("n").cast("long").alias("n_links"), "component_id")
     return linked.unionByName(ids.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))

@@ -21,8 +21,8 @@ from lettermill.llm.common import map_batches, staged
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Parts into which the pieces of one length are dealt to be ranked.
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+PART_ROWS = 1 << 16
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -129,15 +129,15 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {name: table[:, k] for k, name in enumerate(("length", "rank", "sequence", "offset"))}
 
 
-def _placer(shared):
+def _placer(shared, rank_col: str):
     def make():
         s = shared.value
         keys = (s["length"] << 44) + s["rank"]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("length", "_rank"))
+            length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("length", rank_col))
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "_rank"]
+            kept = [i for i, n in enumerate(batch.schema.names) if n != rank_col]
             arrays = [batch.column(i) for i in kept] + [pa.array(s["sequence"][at] + rank - s["rank"][at]), pa.array(s["offset"][at])]
             return pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in kept] + ["sequence_id", "offset"])
 
@@ -151,49 +151,66 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
     pieces needs doc_id, start and a length of 1 to max_tokens; other columns stay, so it should be a written table, read
     twice here. The histogram (max_tokens rows) is all that reaches the driver; what goes back out are the patterns' slots,
-    whose number depends on the lengths, not on the pieces. Ranks are taken in SALTS parts of each length, so that a length
-    that most pieces share is ranked in parallel; the parts' first ranks come from counts. An empty table stays empty.
+    whose number depends on the lengths, not on the pieces. Ranks are taken in parts of each length, more for a length that
+    more pieces share (about PART_ROWS pieces a part), so that it is ranked in parallel; the parts' first ranks come from counts.
+    Input columns named sequence_id or offset are replaced. An empty table stays empty.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    histogram: dict[int, int] = defaultdict(int)
-    first = np.zeros((max_tokens + 1) * SALTS, dtype=np.int64)
-    for r in sorted(counts, key=lambda r: (r["length"], r["_salt"])):
-        first[r["length"] * SALTS + r["_salt"]] = histogram[r["length"]]
-        histogram[r["length"]] += r["n"]
+    pieces = pieces.drop("sequence_id", "offset")
+    salt_col, rank_col = (_free(f"_lm_{n}", pieces.columns) for n in ("part", "rank"))
+    lengths = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # max_tokens rows
+    histogram: dict[int, int] = {r["length"]: r["n"] for r in lengths}
     if any(not 1 <= n <= max_tokens for n in histogram):
         raise ValueError("lengths must be between 1 and max_tokens")
+    parts = {n: max(1, -(-count // PART_ROWS)) for n, count in histogram.items()}
+    many = F.element_at(F.create_map(*[F.lit(x) for p in sorted(parts.items()) if p[1] > 1 for x in p]), F.col("length").cast("int")) if max(parts.values(), default=1) > 1 else F.lit(1)
+    salted = pieces.withColumn(salt_col, F.pmod(F.xxhash64("doc_id", "start"), F.coalesce(many, F.lit(1)).cast("long")))
+    # the first rank of each part, by (length, part): a number a part, one for PART_ROWS pieces
+    before = np.zeros(max_tokens + 2, dtype=np.int64)
+    before[1:] = np.cumsum([parts.get(n, 0) for n in range(max_tokens + 1)])
+    first = np.zeros(before[-1], dtype=np.int64)
+    for r in salted.groupBy("length", salt_col).agg(F.count(F.lit(1)).alias("n")).collect():
+        first[before[r["length"]] + r[salt_col]] = r["n"]
+    first = np.cumsum(first) - first
+    if len(first):
+        first -= np.repeat(first[np.minimum(before[:-1], len(first) - 1)], np.diff(before))
     spark = pieces.sparkSession
-    placed = spark.sparkContext.broadcast(slots(plan(histogram, max_tokens)) | {"first": first})
-    keys = ["length", "_salt"]
+    placed = spark.sparkContext.broadcast(slots(plan(histogram, max_tokens)) | {"first": first, "before": before})
+    keys = ["length", salt_col]
     sorted_rows = salted.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "start")
-    ranked = map_batches(sorted_rows, _ranker(placed), f"{_ddl(pieces)}, _rank long")
-    return map_batches(ranked, _placer(placed), f"{_ddl(pieces)}, sequence_id long, offset long")
+    ranked = map_batches(sorted_rows, _ranker(placed, salt_col, rank_col), f"{_ddl(pieces)}, `{rank_col}` long")
+    return map_batches(ranked, _placer(placed, rank_col), f"{_ddl(pieces)}, sequence_id long, offset long")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with signs added as long as a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _ranker(shared):
+def _ranker(shared, salt_col: str, rank_col: str):
     """Ranks of rows sorted by (length, salt): the part's first rank plus the place within the part. A part may go on in the
     next batch."""
 
     def make():
-        first = shared.value["first"]
+        first, before = shared.value["first"], shared.value["before"]
         last, seen = -1, 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal last, seen
             names = batch.schema.names
-            part = batch.column(names.index("length")).to_numpy() * SALTS + batch.column(names.index("_salt")).to_numpy()
+            part = before[batch.column(names.index("length")).to_numpy()] + batch.column(names.index(salt_col)).to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             place = np.arange(len(part)) - np.repeat(starts, np.diff(np.append(starts, len(part))))
             if part[0] == last:
                 place[: starts[1] if len(starts) > 1 else len(part)] += seen
             last, seen = int(part[-1]), int(place[-1]) + 1
-            kept = [i for i, n in enumerate(names) if n != "_salt"]
-            return pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(first[part] + place)], names=[names[i] for i in kept] + ["_rank"])
+            kept = [i for i, n in enumerate(names) if n != salt_col]
+            return pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(first[part] + place)], names=[names[i] for i in kept] + [rank_col])
 
         return step
 

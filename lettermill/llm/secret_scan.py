@@ -31,11 +31,13 @@ CLASSES = {
 PLACEHOLDERS = r"(?i)example|placeholder|changeme|dummy|lorem|0123456789|abcdefgh|qwertyuiop|x{8}"
 #: Candidates that hold one of these, or a path of words, are cut before they are scored.
 ALLOWED = PLACEHOLDERS + r"|(?:[a-z]{3,}[/_=-]){3}"
+#: The same for a backtracking engine: words begin where no letter stands before and are read once.
+ALLOWED_ONCE = f"(?i:{PLACEHOLDERS.removeprefix('(?i)')})" + r"|(?<![A-Za-z])(?:[A-Za-z]{3,}+[/_=-]){3}"
 #: Where they are cut: at whole words (lower, upper or camel case) with the separators that follow, and at '=' before other
 #: signs. With a placeholder only two or more words at the front are, so that it still stands for what surrounds it.
 _WORD = r"(?=[A-Za-z]{3})(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*+)[/_=-]+"
-CUTS = r"(?<![A-Za-z0-9+])" + _WORD + r"|=+(?=[^=])"
-FRONT_CUTS = r"^[/_=-]*(?:" + _WORD + r"){2,}|=+(?=[^=])"
+CUTS = r"(?<![A-Za-z0-9+])" + _WORD + r"|(?<!=)=++(?=.)"
+FRONT_CUTS = r"^[/_=-]*+(?:" + _WORD + r"){2,}+|(?<!=)=++(?=.)"
 OPEN, CLOSE = "\x01", "\x02"
 
 
@@ -44,18 +46,38 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
 
+#: Matches whose positions are added up together: arrays that grow by one are copied each time, so they are kept short.
+BLOCK = 256
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (start, end, kind, value) of all matches, code points, end exclusive."""
+    """Array of (start, end, kind, value) of all matches, code points, end exclusive. Positions are added up within blocks of
+    matches first, then over the blocks."""
+    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,value:string>>")
 
     def one(acc: Column, piece: Column) -> Column:
         value = F.substring_index(piece, CLOSE, 1)
-        start = acc["at"]
-        span = F.array(F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value")))
-        # the first piece, before any match, has no span
-        return F.struct((F.greatest(start, F.lit(0)) + F.char_length(piece) - F.when(start < 0, 0).otherwise(1)).cast("int").alias("at"), F.when(start < 0, acc["found"]).otherwise(F.concat(acc["found"], span)).alias("found"))
+        at = acc["at"]
+        span = F.array(F.struct(at.alias("start"), (at + F.char_length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value")))
+        # a piece has one sign more than the text
+        return F.struct((at + F.char_length(piece) - 1).cast("int").alias("at"), F.concat(acc["found"], span).alias("found"))
 
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,kind:string,value:string>>")
-    return F.aggregate(_pieces(text, pattern), F.struct(F.lit(-1).alias("at"), empty.alias("found")), one, lambda acc: acc["found"])
+    def block(pieces: Column) -> Column:
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("found")), one)
+
+    def after(acc: Column, b: Column) -> Column:
+        moved = F.transform(b["found"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+        return F.struct((acc["at"] + b["at"]).cast("int").alias("at"), F.concat(acc["found"], F.array(moved)).alias("found"))
+
+    def all_of(pieces: Column) -> Column:
+        """pieces: what comes before the first match, then a piece a match, one at least."""
+        blocks = F.transform(F.sequence(F.lit(2), F.size(pieces), F.lit(BLOCK)), lambda i: block(F.slice(pieces, i, BLOCK)))
+        none = F.from_json(F.lit("[]"), "array<array<struct<start:int,end:int,kind:string,value:string>>>")
+        return F.flatten(F.aggregate(blocks, F.struct(F.char_length(pieces[0]).alias("at"), none.alias("found")), after, lambda acc: acc["found"]))
+
+    # one row's pieces under a name, so they are made once
+    named = F.array(_pieces(text, pattern))
+    return F.transform(named, lambda p: F.when(F.size(p) > 1, all_of(p)).otherwise(empty))[0]
 
 
 #: Bits of a character's count, and characters whose counts one long holds.
@@ -106,7 +128,8 @@ def _parts(s: Column) -> Column:
     words = F.when(s["value"].rlike(PLACEHOLDERS), _spans(s["value"], FRONT_CUTS, "cut")).otherwise(_spans(s["value"], CUTS, "cut"))
     starts = F.concat(F.array(F.lit(0)), F.transform(words, lambda w: w["end"]))
     ends = F.concat(F.transform(words, lambda w: w["start"]), F.array(F.char_length(s["value"])))
-    parts = F.zip_with(starts, ends, lambda a, b: F.struct((s["start"] + a).alias("start"), F.substring(s["value"], a + 1, b - a).alias("value")))
+    signs = s["value"].cast("binary")  # candidates are ASCII: a part of the bytes is found without reading those before it
+    parts = F.zip_with(starts, ends, lambda a, b: F.struct((s["start"] + a).alias("start"), F.substring(signs, a + 1, b - a).cast("string").alias("value")))
     return F.filter(parts, lambda x: ~x["value"].rlike(PLACEHOLDERS))
 
 
@@ -116,7 +139,7 @@ def _entropy_spans(text: Column, kind: str) -> Column:
     pattern, alphabet, window, least = CLASSES[kind]
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
     whole = lambda s: F.array(F.struct(s["start"].alias("start"), s["value"].alias("value")))
-    found = F.transform(F.filter(_spans(text, pattern, kind), mixed), lambda s: F.when(s["value"].rlike(ALLOWED), _parts(s)).otherwise(whole(s)))
+    found = F.transform(F.filter(_spans(text, pattern, kind), mixed), lambda s: F.when(s["value"].rlike(ALLOWED_ONCE), _parts(s)).otherwise(whole(s)))
     found = F.filter(F.flatten(found), lambda s: mixed(s) & (F.char_length(s["value"]) >= window))
     value = (lambda s: F.lower(s["value"])) if kind == "entropy_hex" else (lambda s: s["value"])
     scored = F.transform(found, lambda s: F.struct(s.alias("s"), _entropy_window(value(s), alphabet, window, least).alias("w")))

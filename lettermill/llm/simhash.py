@@ -121,17 +121,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, fp, component_id) for every row: component_id is the smallest id reachable over links of `bits` or fewer
     differing bits, the row's own included.
 
-    Equal fingerprints are one class, so copies never form pairs; a class's node is its smallest id. Null and empty texts
-    have fingerprint 0 and link like any other. Rows with a null id keep their fingerprint and get a null component of
-    their own unless their class has an id. Repeated ids give repeated rows. Other columns are ignored; an empty table
+    Equal fingerprints are one class, numbered in the table of classes, so copies never form pairs. Null and empty texts
+    have fingerprint 0 and link like any other. A row with a null id has its links like any other, and its component is null
+    unless a row with an id is reachable. Repeated ids give repeated rows. Other columns are ignored; an empty table
     gives an empty result.
     """
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    roots = components(link_fingerprints(classes.where("node is not null"), bits))
-    named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    classes = staged(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = components(link_fingerprints(classes.select("fp", "node"), bits))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     named = staged(named, "named")
-    discard(classes)
+    discard(classes, roots)
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 

@@ -3,6 +3,8 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from lettermill.llm import secret_scan
 from tests.llm.test_operators import docs_of, plain_entropy, plain_spans
 
@@ -39,3 +41,22 @@ def test_camel_case_runs_do_not_overflow(spark, tmp_path):
     texts = {1: "some_long_setting_name=" + "AbCd" * 30_000 + "/x9", 2: "see example_" + "Word" * 30_000 + "=abc1"}
     got, _ = found(spark, tmp_path, "camel", texts)
     assert set(got) == {1, 2}
+
+
+def test_words_and_letters_without_end(spark, tmp_path):
+    """Many words before a placeholder, long runs of letters of both cases, and of separators, at 200 kB each."""
+    texts = {
+        1: "_".join(["abcd"] * 40_000) + "_example_A1b2C3",
+        2: "AbCd" * 50_000 + "1",
+        3: "a1" + "=" * 200_000,
+        4: "a1" + "=" * 100_000 + "/" * 100_000 + "b",
+        5: "x1/" + "abc/" * 50_000,
+        6: "A" * 100_000 + "_" + "1aB" * 30_000,
+    }
+    found(spark, tmp_path, "warm-words", {1: "short_text_here"})
+    got, took = found(spark, tmp_path, "words", texts)
+    assert set(got) == set(texts) and took < 20
+    # what the old patterns allowed is what is cut now
+    samples = ["abc/def/ghi/9zzzzzzzzzzzzzzzzzzzzzzz", "1abc_DEF=ghi-", "ab/cde/fgh/ijk/", "Exampl3", "xxxxxxxx", "a1bc/def/gh", "EXAMPLE", "9abc/def/ghi_q"]
+    rows = spark.createDataFrame([(s,) for s in samples], "s string").select("s", F.col("s").rlike(secret_scan.ALLOWED).alias("a"), F.col("s").rlike(secret_scan.ALLOWED_ONCE).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and {r["a"] for r in rows} == {True, False}
