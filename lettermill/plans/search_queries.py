@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
+import pyspark
 from pyspark.sql import functions as F
 
+from lettermill.operators import ranked_index
 from lettermill.operators import search as S
 from lettermill.plans.mail_queries import TRIM_BODY, m_sql, mails
 from lettermill.plans.registry import query
@@ -12,44 +17,68 @@ from lettermill.sources.fixtures import duckdb, table
 from lettermill.sources.stored import fresh_path, stored
 from lettermill.streaming import index_sync
 
-STOP = ["the", "of", "and", "de", "la", "der", "die", "que"]
-_STOP = ",".join(f"'{w}'" for w in STOP)
+
+
+def _stop_words() -> list[str]:
+    """The stop list that Spark's StopWordsRemover loads, read from the library itself: the SQL is made without a session."""
+    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        return z.read("org/apache/spark/ml/feature/stopwords/hungarian.txt").decode().split()
+
+
+_STOP = ",".join(f"'{w}'" for w in _stop_words())
 BODY = f"case when regexp_matches(body,'\\S') then substr({strip_sql(TRIM_BODY)},1,50000) else '' end"
 INDEX = f"ix as (select message_key, id as mail_id, subject, {BODY} as body_delta, sender_name, sender_key, pst_file, owner, conversation_id as thread_id, received from m qualify row_number() over(partition by message_key order by seq desc)=1)"
 
 
+# Fixed values, written out for the SQL: words, letters that do not decompose, and the stemmer's tables by step.
+_WORD = r"(?:[\p{L}\p{M}]+(?:[.''’·]\p{L}[\p{L}\p{M}]*)*|\p{N}+(?:[.,''’]\p{N}+)*|_)+"
+_VOWELS = "aáeéiíoóöőuúüű"
+_DOUBLE = "(bb|ccs?|dd|ff|ggy?|jj|kk|lly?|mm|nny?|pp|rr|ssz?|tty?|vv|zzs?)$"
+_STEPS = [
+    {"": "al el"},
+    {"": "képpen onként enként anként ként képp kor ban ben nak nek val vel tól től ról ről ból ből hoz hez höz nál nél ért ba be ra re ig at et ot öt ul ül vá vé en on an ön n t"},
+    {"a": "ánként án", "e": "én"},
+    {"": "astul estül stul stül", "a": "ástul", "e": "éstül"},
+    {"": "á é"},
+    {"": "oké öké aké eké ké éi é", "a": "áké áéi", "e": "éké ééi éé"},
+    {"": "ünk unk nk juk jük uk ük em om am m od ed ad öd d ja je a e o", "a": "ánk ájuk ám ád á", "e": "énk éjük ém éd é"},
+    {"": "jaink jeink jaitok jeitek jaim jeim jaid jeid jaik jeik aink eink aitok eitek aim eim aid eid aik eik jai jei ink itek im id ik ai ei i", "a": "áink áitok áim áid áik ái", "e": "éink éitek éim éid éik éi"},
+    {"": "ök ok ek ak k", "a": "ák", "e": "ék"},
+]
+
+
 def _words(column: str) -> str:
-    return f"list_filter(string_split_regex(lower(coalesce({column},'')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x<>'' and x not in ({_STOP}))"
+    return f"regexp_extract_all(lower(coalesce({column},'')), '{_WORD}')"
 
 
-# Fixed values, written out for the SQL: endings of the light stemmer by step, and what may be left.
-_ENDINGS = [
-    "ként képp kor ból ből ban ben hoz hez höz nak nek val vel ról ről tól től nál nél ért ba be ra re ig ul ül on en ön ot et öt at n t",
-    "jaink jeink aink eink jaik jeik unk ünk tok tek tök juk jük ja je om em öm am od ed öd ad uk ük a e m d",
-    "ak ek ok ök ák ék k",
-]
+def fold_sql(word: str) -> str:
+    return f"replace(replace(replace(replace(translate(strip_accents({word}),'øđłħı','odlhi'),'ß','ss'),'æ','ae'),'œ','oe'),'þ','th')"
 
 
-def stem_sql(word: str) -> str:
-    """The word without at most one ending of each step, as nested cases; the last letter's length falls at the end."""
-    out = word
-    steps = []
-    for k, endings in enumerate(_ENDINGS):
-        cases = " ".join(f"when ends_with({out},'{e}') and length({out})>={len(e) + 3} and regexp_matches(left({out},length({out})-{len(e)}),'[aáeéiíoóöőuúüű]') then left({out},length({out})-{len(e)})" for e in endings.split())
-        steps.append(f"case {cases} else {out} end as s{k}")
-        out = f"s{k}"
-    inner = f"select word, {steps[0]} from (select distinct word from wd)"
-    for step in steps[1:]:
-        inner = f"select word, {step} from ({inner})" if "s0" not in step else f"select *, {step} from ({inner})"
-    return f"select word, case right({out},1) when 'á' then concat(left({out},length({out})-1),'a') when 'é' then concat(left({out},length({out})-1),'e') else {out} end as stem from (select * from ({inner}))"
+def stem_sql(words: str) -> str:
+    """(word, stem) of a query's words: nested steps, each of which tries its endings, longest first, within the region."""
+    region = f"case when regexp_matches(word,'^[{_VOWELS}]+[^{_VOWELS}]') then length(regexp_extract(word,'^[{_VOWELS}]+(dzs|cs|gy|ly|ny|sz|ty|zs|[^{_VOWELS}])')) when regexp_matches(word,'^[^{_VOWELS}]+[{_VOWELS}]') then length(regexp_extract(word,'^[^{_VOWELS}]+[{_VOWELS}]')) else length(word) end"
+    inner = f"select word, {region} as r, word as s from ({words})"
+    for k, step in enumerate(_STEPS):
+        cases = []
+        for ending, to in sorted(((e, to) for to, every in step.items() for e in every.split()), key=lambda x: -len(x[0])):
+            n = len(ending)
+            rest = f"left(s,length(s)-{n})"
+            double = f"concat(left(s,length(s)-{n + 2}),right({rest},1))"
+            then = f"case when length(s)-{n}>=r and regexp_matches({rest},'{_DOUBLE}') then {double} else s end" if k in (0, 4) else f"case when length(s)-{n}>=r then concat({rest},'{to}') else s end"
+            cases.append(f"when ends_with(s,'{ending}') then {then}")
+        inner = f"select word, r, s as s0, case {' '.join(cases)} else s end as s from ({inner})"
+        if k == 1:
+            inner = f"select word, r, case when s<>s0 and length(s)-1>=r and right(s,1)='á' then concat(left(s,length(s)-1),'a') when s<>s0 and length(s)-1>=r and right(s,1)='é' then concat(left(s,length(s)-1),'e') else s end as s from ({inner})"
+    return f"select word, s as stem from ({inner})"
 
 
 _WORDS = " union all ".join(f"select message_key as doc, '{f}' as field, unnest({_words(c)}) as word from ix" for f, c in (("subject", "subject"), ("body", "body_delta"), ("sender_name", "sender_name")))
-_FOLDED = f"translate(word, '{S.ACCENTED}', '{S.PLAIN}')"
 POSTINGS = (
     INDEX
-    + f", wd as ({_WORDS}), vo as ({stem_sql('word')}), po as (select doc, field, stem as term, count(*) as tf from wd join vo using(word) group by 1,2,3"
-    + f" union all select doc, concat(field,'.ascii') as field, {_FOLDED} as term, count(*) as tf from wd group by 1,2,3)"
+    + f", wd as ({_WORDS}), vo as (select word, stem, {fold_sql('word')} as folded from ({stem_sql('select distinct word from wd')})), po as (select doc, field, stem as term, count(*) as tf from wd join vo using(word) where word not in ({_STOP}) group by 1,2,3"
+    + f" union all select doc, concat(field,'.ascii') as field, folded as term, count(*) as tf from wd join vo using(word) where folded not in ({_STOP}) group by 1,2,3)"
 )
 STATS = POSTINGS + ", df as (select field, term, count(*) as df from po group by 1,2), ln as (select doc, field, sum(tf) as len from po group by 1,2), fl as (select field, count(*) as docs, sum(len)::double/count(*) as avg_len from ln group by 1)"
 
@@ -66,10 +95,11 @@ def index(spark, sf):
 
 
 def searchable(spark, sf):
-    """The index, its postings and view statistics as stored tables, as a search job finds them."""
+    """The index as a stored table and its ranked index, as a search job finds them."""
     i = stored(index(spark, sf), "index")
-    post = stored(S.postings(i, STOP), "postings", "term")
-    return i, post, stored(S.corpus_stats(post)[1], "fields")
+    path = fresh_path(spark, "ranked")
+    ranked_index.add_batch(ranked_index.as_changes(i), path, 0, S.hungarian_stop_words(spark))
+    return i, path
 
 
 @query("s8_write_email_index", m_sql("select message_key, mail_id, subject, sha256(body_delta) as body_hash, sender_key, owner, thread_id, epoch_us(received)//1000 as received_ms from ix", more=INDEX))
@@ -79,65 +109,67 @@ def s8(spark, sf):
 
 @query("d7_index_emails", m_sql("select doc, field, term, tf from po", more=POSTINGS))
 def d7(spark, sf):
-    return S.postings(index(spark, sf), STOP).select("doc", "field", "term", "tf")
+    return S.postings(index(spark, sf), S.hungarian_stop_words(spark)).select("doc", "field", "term", "tf")
 
 
 @query("a21_corpus_stats", m_sql("select field, docs, round(avg_len,6) as avg_len, (select count(*) from df where df.field=fl.field) as terms from fl", more=STATS))
 def a21(spark, sf):
-    terms, fields = S.corpus_stats(stored(S.postings(index(spark, sf), STOP), "postings", "term"))
+    terms, fields = S.corpus_stats(stored(S.postings(index(spark, sf), S.hungarian_stop_words(spark)), "postings", "term"))
     return fields.join(terms.groupBy("field").agg(F.count(F.lit(1)).alias("terms")), "field").select("field", "docs", F.round("avg_len", 6).alias("avg_len"), "terms")
 
 
-@query("f16_tokenize_folded", m_sql("select message_key as doc, translate(array_to_string(" + _words("subject") + f",' '), '{S.ACCENTED}', '{S.PLAIN}') as words from ix", more=INDEX))
+_FOLDED = f"list_filter(list_transform({_words('subject')}, lambda x: {fold_sql('x')}), lambda x: x not in ({_STOP}))"
+
+
+@query("f16_tokenize_folded", m_sql(f"select message_key as doc, array_to_string({_FOLDED},' ') as words from ix", more=INDEX))
 def f16(spark, sf):
-    return index(spark, sf).select(F.col("message_key").alias("doc"), F.array_join(S.tokenize_folded(F.col("subject"), STOP), " ").alias("words"))
+    return index(spark, sf).select(F.col("message_key").alias("doc"), F.array_join(S.tokenize_folded(F.col("subject"), S.hungarian_stop_words(spark)), " ").alias("words"))
 
 
 @query("f16_tokenize_stemmed", m_sql("select doc as message_key, term, tf from po where field='body'", more=POSTINGS))
 def f16b(spark, sf):
-    return S.tokenize_stemmed(index(spark, sf), "body_delta", STOP, "message_key")
+    return S.tokenize_stemmed(index(spark, sf), "body_delta", S.hungarian_stop_words(spark), "message_key")
 
 
-QUERY = ["onand", "reth", "user"]
-
-
-@query(
-    "f17_fuzzy_terms",
-    m_sql("select q as query_term, term from (select distinct term from po), (values ('onand',1),('reth',1),('thered',2)) t(q,k) where left(term,2)=left(q,2) and levenshtein(regexp_replace(term,'[^\\x00-\\x7F]','#','g'),q)<=k", more=POSTINGS),
-)
-def f17(spark, sf):
-    return S.fuzzy_terms(S.postings(index(spark, sf), STOP).select("term").distinct(), ["onand", "reth", "thered"])
+#: A missing letter, a swap of neighbours, and two swaps.
+NEAR = {"erton": 1, "reht": 1, "onadn": 1, "eritno": 2}
 
 
-# A query with an inflected word, a stop word and accents, and its terms by hand.
-SEARCH = "The ERTIONBAN, ouedból users lónek"
-_MAIN, _ASCII = "'ertion','oue','users','lón'", "'ertionban','ouedbol','users','lonek'"
-MATCH = f"case when ends_with(field,'.ascii') then term in ({_ASCII}) else term in ({_MAIN}) end"
+def _near(words: dict[str, int]) -> str:
+    return " or ".join(f"(left(term,2)='{w[:2]}' and damerau_levenshtein(regexp_replace(term,'[^\\x00-\\x7F]','#','g'),'{w}')<={k})" for w, k in words.items())
 
 
-def _near(words: dict[str, int]) -> str:
-    return " or ".join(f"(left(term,2)='{w[:2]}' and levenshtein(regexp_replace(term,'[^\\x00-\\x7F]','#','g'),'{w}')<={k})" for w, k in words.items())
+@query("f17_fuzzy_terms", m_sql(" union all ".join(f"select '{w}' as query_term, term from (select distinct term from po) where {_near({w: k})}" for w, k in NEAR.items()), more=POSTINGS))
+def f17(spark, sf):
+    return S.fuzzy_terms(S.postings(index(spark, sf), S.hungarian_stop_words(spark)).select("term").distinct(), list(NEAR))
 
 
-FUZZY = f"case when ends_with(field,'.ascii') then {_near({'ertoin': 2, 'oued': 1})} else {_near({'ertoi': 1, 'oue': 1})} end"
+# A query with accents, a Hungarian stop word and inflected words, and its terms by hand.
+SEARCH = "az ONANDNAK rethben, useren lónek"
+_MAIN, _ASCII = "'onan','reth','user','ló'", "'onandnak','rethben','useren','lonek'"
+MATCH = f"case when ends_with(field,'.ascii') then term in ({_ASCII}) else term in ({_MAIN}) end"
+# Words with a swap and a missing letter; the stemmer takes an ending off the first.
+TYPOS = "reht usr"
+BODY_MATCH = f"starts_with(field,'body') and ({MATCH})"
+FUZZY = f"case when ends_with(field,'.ascii') then {_near({'reht': 1, 'usr': 1})} else {_near({'reh': 1, 'usr': 1})} end"
 
 
 @query("f18_rank_text", m_sql(ranked_sql(MATCH, 20), more=STATS))
 def f18(spark, sf):
-    i, post, fields = searchable(spark, sf)
-    return S.rank_text(i, post, SEARCH, STOP, 20, fuzzy=False, fields=fields)
+    _, path = searchable(spark, sf)
+    return ranked_index.rank(spark, path, SEARCH, S.hungarian_stop_words(spark), 20, fuzzy=False)
 
 
 @query("f18_rank_text_filtered", m_sql(ranked_sql(MATCH, 20, "owner='src1' and received >= date '2024-01-01'"), more=STATS))
 def f18b(spark, sf):
-    i, post, fields = searchable(spark, sf)
-    return S.rank_text(i, post, SEARCH, STOP, 20, fuzzy=False, fields=fields, where=(F.col("owner") == "src1") & (F.col("received") >= F.lit("2024-01-01").cast("date")))
+    i, path = searchable(spark, sf)
+    return ranked_index.rank(spark, path, SEARCH, S.hungarian_stop_words(spark), 20, fuzzy=False, index=i, where=(F.col("owner") == "src1") & (F.col("received") >= F.lit("2024-01-01").cast("date")))
 
 
 @query("f18_rank_text_fuzzy", m_sql(ranked_sql(FUZZY, 20), more=STATS))
 def f18c(spark, sf):
-    i, post, fields = searchable(spark, sf)
-    return S.rank_text(i, post, "ertoin oued", STOP, 20, fields=fields)
+    _, path = searchable(spark, sf)
+    return ranked_index.rank(spark, path, TYPOS, S.hungarian_stop_words(spark), 20)
 
 
 _AT = "greatest(strpos(lower(body_delta),'the')-100,1)"
@@ -148,10 +180,19 @@ def f19(spark, sf):
     return index(spark, sf).select("message_key", S.snippet(F.col("body_delta"), "the").alias("snippet"))
 
 
-@query("p11_search_result_view", m_sql(f"select r.doc, coalesce(subject,'') as subject, coalesce(sender_name,'') as sender_name, owner, r.score from ({ranked_sql(MATCH, 10)}) r join ix on r.doc=ix.message_key", more=STATS))
+@query("f19_passage")
+def f19b(spark, sf):
+    """The best passage of every mail for a query, its words marked whatever their inflection."""
+    stop = S.hungarian_stop_words(spark)
+    return index(spark, sf).select("message_key", S.highlighted(F.col("body_delta"), S.analyse(spark, SEARCH, stop), stop).alias("snippet"))
+
+
+@query("p11_search_result_view", m_sql(f"select r.doc, coalesce(subject,'') as subject, coalesce(sender_name,'') as sender_name, owner, r.score, true as marked from ({ranked_sql(BODY_MATCH, 10)}) r join ix on r.doc=ix.message_key", more=STATS))
 def p11(spark, sf):
-    i, post, fields = searchable(spark, sf)
-    return S.search_result_view(S.rank_text(i, post, SEARCH, STOP, 10, fuzzy=False, fields=fields), i, "ertion").select("doc", "subject", "sender_name", "owner", "score")
+    i, path = searchable(spark, sf)
+    stop = S.hungarian_stop_words(spark)
+    hits = ranked_index.rank(spark, path, SEARCH, stop, 10, fuzzy=False, weights={f: w for f, w in S.WEIGHTS.items() if f.startswith("body")})
+    return S.search_result_view(hits, i, S.analyse(spark, SEARCH, stop), stop).select("doc", "subject", "sender_name", "owner", "score", F.col("snippet").contains("<em>").alias("marked"))
 
 
 @query("x3_delete_by_email", m_sql("select mail_id from ix where mail_id not in (select id from m where seq%3=0)", more=INDEX))
@@ -226,3 +267,26 @@ def x6(spark, sf):
 @query("x1_live_index", duckdb("select id, subject from (select * from ch qualify row_number() over(partition by id order by seq desc)=1) where op<>'delete'", more=CHANGES))
 def x1b(spark, sf):
     return index_sync.live(index_sync.latest_changes(as_changes(table(spark, sf, "events")))).select("id", "subject")
+
+
+_CHANGED_VIEWS = f"select id as doc, 'subject' as field, unnest({_words('subject')}) as word from li"
+_STREAMED = (
+    CHANGES
+    + ", li as (select id, seq, subject from (select * from ch qualify row_number() over(partition by id order by seq desc)=1) where op<>'delete'), ix as (select id as message_key from li)"
+    + f", wd as ({_CHANGED_VIEWS}), vo as (select word, stem, {fold_sql('word')} as folded from ({stem_sql('select distinct word from wd')})), po as (select doc, field, stem as term, count(*) as tf from wd join vo using(word) where word not in ({_STOP}) group by 1,2,3"
+    + f" union all select doc, concat(field,'.ascii') as field, folded as term, count(*) as tf from wd join vo using(word) where folded not in ({_STOP}) group by 1,2,3)"
+    + STATS.removeprefix(POSTINGS)
+)
+LIVE_QUERY, _LIVE = "3 17 k", "'3','17','k'"
+
+
+@query("x1_ranked_index", duckdb(ranked_sql(f"term in ({_LIVE})", 30), more=_STREAMED))
+def x1c(spark, sf):
+    """Inserts, replacements and deletes arrive in batches, each of which changes the ranked index; then it is searched."""
+    path = fresh_path(spark, "live")
+    events = table(spark, sf, "events")
+    events.repartitionByRange(6, "event_type", "event_id").write.parquet(f"{path}/in")
+    stream = index_sync.change_stream(spark, f"{path}/in", events.schema, files_per_batch=2)
+    changes = as_changes(stream).withColumn("body", F.lit(None).cast("string")).withColumn("sender_name", F.lit(None).cast("string"))
+    index_sync.sync_ranked(changes, f"{path}/index", f"{path}/checkpoint", S.hungarian_stop_words(spark)).awaitTermination()
+    return ranked_index.rank(spark, f"{path}/index", LIVE_QUERY, S.hungarian_stop_words(spark), 30, fuzzy=False)

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lettermill.functions import text as X
+from lettermill.operators import ranked_index
+
 CHANGE = "id string, seq long, op string, subject string, body string"
 
 
@@ -53,6 +56,13 @@ def sync_index(changes: DataFrame, index_path: str, checkpoint: str):
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, batch: apply_changes(df, index_path, batch)).start()
 
 
+def sync_ranked(changes: DataFrame, path: str, checkpoint: str, stop: list[str]):
+    """Start the sync of a ranked index with changes (id, seq, op, subject, body, sender_name): each batch derives the searchable
+    rows anew and adds its postings, tombstones and counts (see ranked_index). A batch that is replayed takes its own place."""
+    rows = changes.select(F.col("id").alias("doc"), "seq", "op", "subject", X.best_text(F.col("body")).alias("body_delta"), "sender_name")
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, batch: ranked_index.add_batch(df, path, batch, stop)).start()
+
+
 def tail_logs(logs: DataFrame, level: str | None = None) -> DataFrame:
     """Live log rows of a level."""
     return logs if level is None else logs.where(F.col("level") == level)
