@@ -97,6 +97,23 @@ def page(df: DataFrame, order: list, number: int, size: int = 50) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int = 50) -> DataFrame:
+    """The page behind the row with the values `after` of the order's columns, or the first. order: (column, rising), the last of
+    them unique; null comes first when rising and last when falling. The bound on the first column is a predicate of its own, so
+    it reaches the scan, and a deep page costs no more than the first."""
+    columns = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order]
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for (c, up), v in zip(order, after, strict=True):
+            col, v = F.col(c), F.lit(v)
+            later = (col.isNotNull() & v.isNull()) | (col > v) if up else v.isNotNull() & (col.isNull() | (col < v))
+            beyond, same = beyond | (same & F.coalesce(later, F.lit(False))), same & col.eqNullSafe(v)
+        (first, up), bound = order[0], after[0]
+        lead = F.lit(True) if up and bound is None else F.col(first) >= F.lit(bound) if up else F.col(first).isNull() if bound is None else F.col(first).isNull() | (F.col(first) <= F.lit(bound))
+        df = df.where(lead).where(beyond)
+    return df.orderBy(*columns).limit(size)
+
+
 def by_key(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(F.col(column) == F.lit(value))
 

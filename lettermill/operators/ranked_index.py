@@ -89,7 +89,7 @@ def add_batch(changes: DataFrame, path: str, batch: int, stop: list[str]) -> Non
         df.write.mode("overwrite").options(**options).parquet(f"{path}/{table}/batch={batch}")
 
     columns = ["seq", "op", "subject", "body_delta", "sender_name"]
-    latest = changes.groupBy(F.col("doc").cast("string").alias("doc")).agg(F.max_by(F.struct(*columns), F.struct("seq", *columns[1:])).alias("c")).select("doc", "c.*")
+    latest = changes.groupBy(F.col("doc").cast("string").alias("doc")).agg(F.max_by(F.struct(*columns), F.struct("seq", F.xxhash64(*columns))).alias("c")).select("doc", "c.*")
     old = live_versions(spark, path, before).toDF("doc", "old_seq", "old_op", "of")
     fresh = stage(latest.join(old, "doc", "left").where("old_seq is null or seq >= old_seq"), "fresh")
     store(fresh.select("doc", "seq", "op"), "versions")

@@ -240,11 +240,11 @@ def x2(spark, sf):
     return index_sync.read_index(spark, f"{path}/compact", CHANGED)
 
 
-def _logs(spark, sf, path, level):
+def _logs(spark, sf, path, level, **between):
     """The log as a stream of files, its rows of a level stored; gives the finished stream."""
     log = table(spark, sf, "log_entries")
     log.write.parquet(f"{path}/in")
-    stream = index_sync.observed(index_sync.tail_logs(spark.readStream.schema(log.schema).parquet(f"{path}/in"), level))
+    stream = index_sync.observed(index_sync.tail_logs(spark.readStream.schema(log.schema).parquet(f"{path}/in"), level, **between))
     told = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     told.awaitTermination()
     return told
@@ -257,6 +257,13 @@ def x5(spark, sf):
     return spark.read.parquet(f"{path}/out").select("seq", "level", "message")
 
 
+@query("x5_tail_logs_range", duckdb("select seq, level, message from log_entries where level='ERROR' and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12'", "log_entries"))
+def x5b(spark, sf):
+    path = fresh_path(spark, "logs")
+    _logs(spark, sf, path, "ERROR", since="2024-01-10", until="2024-01-12")
+    return spark.read.parquet(f"{path}/out").select("seq", "level", "message")
+
+
 @query("x6_stream_progress", duckdb("select count(*) as processed from log_entries where level='ERROR'", "log_entries"))
 def x6(spark, sf):
     done = _logs(spark, sf, fresh_path(spark, "logs"), "ERROR")

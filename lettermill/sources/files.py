@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import email
 import email.policy
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,7 +119,35 @@ def read_log_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def hash_files(spark: SparkSession, roots: list[str], pattern: str = "*") -> DataFrame:
-    """(path, new_hash): hash of the first MiB of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(roots)
-    return files.select(F.regexp_replace("path", "^[a-z]+:(//)?(?=/)", "").alias("path"), X.partial_hash(F.col("content")).alias("new_hash"))
+#: Bytes of a file that a partial hash covers, and that are read at once.
+PART_BYTES, READ_BYTES = 1 << 20, 1 << 22
+
+
+def hash_files(spark: SparkSession, roots: list[str], pattern: str = "*", most: int | None = PART_BYTES) -> DataFrame:
+    """(path, new_hash): SHA-256 of the first `most` bytes of each file, of whole files if most is None. Files are listed, then read
+    as far as needed and piece by piece, so neither their size nor their number bounds what can be hashed. Paths are of a file
+    system that all tasks see; a file that is gone or may not be read has a null hash; empty files
+    are not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(roots).select("path")
+
+    def digest(path: str) -> str | None:
+        try:
+            local = re.sub("^file:(//)?(?=/)", "", path)
+            where, base = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+            found, left = hashlib.sha256(), most
+            with where.open_input_file(base) as f:
+                while left is None or left > 0:
+                    piece = f.read(READ_BYTES if left is None else min(READ_BYTES, left))
+                    if not piece:
+                        return found.hexdigest()
+                    found.update(piece)
+                    left = None if left is None else left - len(piece)
+            return found.hexdigest()
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(p) for p in batch.column(0).to_pylist()], pa.string())], names=["path", "new_hash"])
+
+    return files.mapInArrow(run, "path string, new_hash string").select(F.regexp_replace("path", "^[a-z]+:(//)?(?=/)", "").alias("path"), "new_hash")

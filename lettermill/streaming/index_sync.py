@@ -63,9 +63,15 @@ def sync_ranked(changes: DataFrame, path: str, checkpoint: str, stop: list[str])
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, batch: ranked_index.add_batch(df, path, batch, stop)).start()
 
 
-def tail_logs(logs: DataFrame, level: str | None = None) -> DataFrame:
-    """Live log rows of a level."""
-    return logs if level is None else logs.where(F.col("level") == level)
+def tail_logs(logs: DataFrame, level: str | None = None, since=None, until=None, time_col: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Live log rows of a level, and of a range of event time (since included, until excluded). With a range the stream has a watermark,
+    so that counts by time over it end; rows that come later than `late` are still shown."""
+    rows = logs if level is None else logs.where(F.col("level") == level)
+    if since is not None:
+        rows = rows.where(F.col(time_col) >= F.lit(since).cast(logs.schema[time_col].dataType))
+    if until is not None:
+        rows = rows.where(F.col(time_col) < F.lit(until).cast(logs.schema[time_col].dataType))
+    return rows.withWatermark(time_col, late) if since is not None or until is not None else rows
 
 
 def observed(stream: DataFrame, name: str = "progress") -> DataFrame:
