@@ -179,10 +179,10 @@ def t4(spark, sf):
     return mail.page(mails(spark, sf), ["received", "id"], 2).select("id")
 
 
-@query("t4_page_after", m_sql("select id from m order by importance desc, received, id limit 50 offset 50"))
+@query("t4_page_after", m_sql("select id from m order by owner desc nulls last, received nulls first, id limit 50 offset 50"))
 def t4b(spark, sf):
     """The second page by the last row of the first."""
-    order = [("importance", False), ("received", True), ("id", True)]
+    order = [("owner", False), ("received", True), ("id", True)]
     last = mail.page_after(mails(spark, sf), order, None).select(*[c for c, _ in order]).collect()[-1:]  # a page
     return mail.page_after(mails(spark, sf), order, tuple(last[0]) if last else None).select("id")
 
