@@ -21,8 +21,8 @@ from lettermill.llm.common import map_batches, staged
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Pieces of one length that are ranked together, about.
-PART_ROWS = 1 << 16
+#: Pieces of one length that are ranked together at most, about; and parts of a length of fewer pieces, of FEW_ROWS or more each.
+PART_ROWS, LEAST_PARTS, FEW_ROWS = 1 << 16, 64, 64
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -152,7 +152,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     pieces needs doc_id, start and a length of 1 to max_tokens; other columns stay, so it should be a written table, read
     twice here. The histogram (max_tokens rows) is all that reaches the driver; what goes back out are the patterns' slots,
     whose number depends on the lengths, not on the pieces. Ranks are taken in parts of each length, more for a length that
-    more pieces share (about PART_ROWS pieces a part), so that it is ranked in parallel; the parts' first ranks come from counts.
+    more pieces share (PART_ROWS pieces a part at most, about), so that it is ranked in parallel; the parts' first ranks come from counts.
     Input columns named sequence_id or offset are replaced. An empty table stays empty.
     """
     pieces = pieces.drop("sequence_id", "offset")
@@ -161,7 +161,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     histogram: dict[int, int] = {r["length"]: r["n"] for r in lengths}
     if any(not 1 <= n <= max_tokens for n in histogram):
         raise ValueError("lengths must be between 1 and max_tokens")
-    parts = {n: max(1, -(-count // PART_ROWS)) for n, count in histogram.items()}
+    parts = {n: max(1, -(-count // PART_ROWS), min(LEAST_PARTS, count // FEW_ROWS)) for n, count in histogram.items()}
     many = F.element_at(F.create_map(*[F.lit(x) for p in sorted(parts.items()) if p[1] > 1 for x in p]), F.col("length").cast("int")) if max(parts.values(), default=1) > 1 else F.lit(1)
     salted = pieces.withColumn(salt_col, F.pmod(F.xxhash64("doc_id", "start"), F.coalesce(many, F.lit(1)).cast("long")))
     # the first rank of each part, by (length, part): a number a part, one for PART_ROWS pieces
