@@ -189,9 +189,19 @@ MERGED = {
 
 def write_graph(path: str, tables: dict[str, DataFrame], batch: str) -> None:
     """Store the vertices and edges of one batch of mails, a Parquet table for each name with a folder for each batch. Nothing
-    stored is read or rewritten, so a batch costs what it holds; a batch that is written again takes its own place."""
+    stored is read or rewritten, so a batch costs what it holds; a batch that is written again takes its own place. Its mark in the
+    manifest goes first and comes back last, so a run that is cut shows none of the batch."""
+    spark = next(iter(tables.values())).sparkSession
+    mark = spark.createDataFrame([(batch,)], "done string").coalesce(1)
+    mark.limit(0).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    mark.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
+
+
+def stored_batches(spark: SparkSession, path: str) -> list[str]:
+    """Batches that were written to their end."""
+    return sorted(r["done"] for r in spark.read.schema("done string").parquet(f"{path}/manifest").collect())  # a row a batch
 
 
 def merge_parts(name: str, rows: DataFrame) -> DataFrame:
@@ -208,7 +218,10 @@ def merge_parts(name: str, rows: DataFrame) -> DataFrame:
 
 def read_parts(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Stored tables over all batches, merged by key, still in parts: what write_graph of another folder takes to compact them."""
-    return {n: merge_parts(n, spark.read.parquet(f"{path}/{n}").drop("batch")) for n in names or KEYS}
+    among = stored_batches(spark, path)
+    if not among:
+        raise ValueError(f"no batch in {path} was written to its end")
+    return {n: merge_parts(n, spark.read.parquet(*[f"{path}/{n}/batch={b}" for b in among])) for n in names or KEYS}
 
 
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -341,9 +354,10 @@ def register_graph_views(tables: dict[str, DataFrame], prefix: str = "graph_") -
 
 
 def build_graph(mails: DataFrame, raw: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
-    """All vertices and edges of the mails that are not known yet, in parts, for write_graph."""
-    new = new_emails(mails, known)
-    k = knowledge(raw.join(new.select(F.col("id").alias("email_id")), "email_id", "left_semi"))
+    """All vertices and edges of the mails that are not known yet, in parts, for write_graph. The new mails, without their bodies,
+    and the parsed answers are written once, since twelve tables read them."""
+    new = stored(new_emails(mails, known).drop("body"), "graph-mails")
+    k = stored(knowledge(raw.join(new.select(F.col("id").alias("email_id")), "email_id", "left_semi")), "graph-knowledge")
     entities = entities_of(k)
     return {
         "person": person_parts(new),

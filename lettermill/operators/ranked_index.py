@@ -83,7 +83,10 @@ def add_batch(changes: DataFrame, path: str, batch: int, stop: list[str]) -> Non
     comes; an op 'delete' takes the document out. A batch number that is stored already is replaced."""
     spark = changes.sparkSession
     stage = lambda df, label: written(df, fresh_path(spark, label))
-    before = [b for b in batches(spark, path) if b < batch]
+    known = batches(spark, path)
+    before = [b for b in known if b < batch]
+    if batch in known:  # a replay: the batch is not there until it is whole again
+        spark.createDataFrame([], "avg map<string,double>").write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
 
     def store(df: DataFrame, table: str, **options: str) -> None:
         df.write.mode("overwrite").options(**options).parquet(f"{path}/{table}/batch={batch}")

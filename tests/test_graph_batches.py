@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from lettermill.operators import graph, rag
 
 MAIL = "id string, message_key string, sender_key string, sender_name string, recipients array<string>, cc array<string>, subject string, received timestamp, conversation_id string, pst_file string, owner string"
@@ -33,6 +35,23 @@ def test_batches_add_up(spark, tmp_path):
         assert sorted(rows.collect(), key=str) == sorted(whole[name].select(rows.columns).collect(), key=str), name
 
 
+def test_a_cut_batch_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    write(spark, path, [mail(2, 2)], "one")
+    raw, none = spark.createDataFrame([], "email_id string, raw string"), spark.createDataFrame([], "message_key string")
+    tables = graph.build_graph(spark.createDataFrame([mail(3, 3)], MAIL), raw, none)
+    broken = dict(list(tables.items())[:4]) | {"mentions": spark.range(1).selectExpr("raise_error('cut') as x")}
+    for batch in ("two", "one"):
+        with pytest.raises(Exception, match="cut"):
+            graph.write_graph(path, broken, batch)
+        if batch == "two":
+            assert {n: df.count() for n, df in graph.read_graph(spark, path).items()}["email"] == 1
+    with pytest.raises(ValueError):
+        graph.read_graph(spark, path)
+    graph.write_graph(path, tables, "two")
+    assert [r["id"] for r in graph.read_graph(spark, path)["email"].collect()] == ["e3"]
+
+
 def test_thread_position_of_a_hot_thread(spark):
     rows = [mail(k, 1 + k % 28, thread="hot" if k % 10 else "cold") for k in range(500)]
     mails = spark.createDataFrame(rows, MAIL).repartition(7)
