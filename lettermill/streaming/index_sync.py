@@ -71,7 +71,10 @@ def tail_logs(logs: DataFrame, level: str | None = None, since=None, until=None,
         rows = rows.where(F.col(time_col) >= F.lit(since).cast(logs.schema[time_col].dataType))
     if until is not None:
         rows = rows.where(F.col(time_col) < F.lit(until).cast(logs.schema[time_col].dataType))
-    return rows.withWatermark(time_col, late) if since is not None or until is not None else rows
+    if since is None and until is None:
+        return rows
+    # a watermark needs a time with zone: one without counts in the session's
+    return rows.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
 
 
 def observed(stream: DataFrame, name: str = "progress") -> DataFrame:
