@@ -6,9 +6,9 @@ value but does not end the match. Words are taken with boundary marks and withou
 depends on their length. Landmarks are words of the training rows; the Nyström map makes a vector of the kernel values of
 a word and the landmarks.
 
-Labels belong to documents, insults to single words: a sentence scores as its strongest word, a document as its strongest
-sentence, and the machine is trained in rounds (multiple instances), each taking the strongest words of each labelled
-row's sentences as its instances. Since a kernel value with a fixed landmark is a sum over the word's subsequences, the
+Labels belong to documents, insults to single words: the machine is trained in rounds (multiple instances), each taking the
+strongest words of each labelled row as its instances, and a document scores by a logistic function of its three strongest
+distinct words, fitted to the labels. Since a kernel value with a fixed landmark is a sum over the word's subsequences, the
 trained machine folds into one weight for each subsequence, exactly, and scoring never touches the landmarks again.
 """
 
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -39,11 +41,18 @@ ODDS = 3.0
 SHARE = 0.01
 PENALTY = 1e-5
 ROUNDS = 6
+#: A toxic row counts for so many clean ones when values become probabilities: training values of toxic rows are higher than others.
+TOXIC_WEIGHT = 2.0
 COPY_MINIMA = 12
 #: A longer word counts as overlapping parts of this many symbols.
 LONGEST_WORD = 32
 #: At least so many one-letter words in a row are also read as one word.
 SPELT = 4
+#: Words of the machine that are widened to doubles at once.
+MACHINE_ROWS = 4096
+#: A document's score rests on the values of so many strongest words; values that agree to so many digits are one.
+TOP = 3
+VALUE_DIGITS = 4
 CACHE_WORDS = 250_000
 CHARS_AT_ONCE = 1_000_000
 START, END = 30, 31
@@ -181,15 +190,24 @@ def _kernel(words: list[str], known: np.ndarray, landmarks: np.ndarray) -> np.nd
 
 def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x = np.hstack([z, np.ones((len(z), 1))]).astype(np.float64)
-    beta = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], PENALTY)
+    size = z.shape[1] + 1
+    beta = np.zeros(size)
+    ridge = np.full(size, PENALTY)
     ridge[-1] = 1e-6
-    loss = lambda b: ridge @ (b * b) + weight @ np.maximum(0, 1 - y * (x @ b)) ** 2
+    wide = lambda rows: np.hstack([z[rows], np.ones((len(rows), 1), dtype=z.dtype)]).astype(np.float64)
+    steps = range(0, len(z), MACHINE_ROWS)  # z stays as it is, only a step's rows are widened
+    given = lambda b: np.concatenate([z[i : i + MACHINE_ROWS].astype(np.float64) @ b[:-1] + b[-1] for i in steps])
+    loss = lambda b: ridge @ (b * b) + weight @ np.maximum(0, 1 - y * given(b)) ** 2
     for _ in range(50):
-        inside = y * (x @ beta) < 1
-        a = x[inside] * weight[inside, None]
-        move = np.linalg.solve(a.T @ x[inside] + np.diag(ridge), a.T @ y[inside]) - beta
+        inside = np.flatnonzero(y * given(beta) < 1)
+        both, right = np.diag(ridge), np.zeros(size)
+        for i in range(0, len(inside), MACHINE_ROWS):
+            at = inside[i : i + MACHINE_ROWS]
+            x = wide(at)
+            a = x * weight[at, None]
+            both += a.T @ x
+            right += a.T @ y[at]
+        move = np.linalg.solve(both, right) - beta
         now, step = loss(beta), 1.0
         while step > 1e-6 and loss(beta + step * move) >= now:
             step /= 2
@@ -201,30 +219,45 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return beta[:-1], float(beta[-1])
 
 
-def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make probabilities of decision values (Platt's targets, Newton steps)."""
+def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes, none negative, and shift that make probabilities of decision values (rows x TOP), by Platt's targets and Newton
+    steps; a row of label 1 weighs TOXIC_WEIGHT. A value whose slope would be negative is left out."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    w = np.where(y == 1, 0.5 / max(pos, 1), 0.5 / max(neg, 1)) * len(y)
-    x = np.stack([f, np.ones_like(f)], axis=1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        move = np.linalg.solve(h, x.T @ (w * (p - t)) + 1e-3 * (beta - np.array([1.0, 0.0])))
-        beta -= np.clip(move, -2, 2)
-    return float(max(beta[0], 0.05)), float(beta[1])
+    w = np.where(y == 1, TOXIC_WEIGHT, 1.0)
+    used = np.ones(f.shape[1], dtype=bool)
+    while True:
+        x = np.hstack([f[:, used], np.ones((len(f), 1))])
+        start = np.append(np.full(used.sum(), 1 / used.sum()), 0.0)
+        beta = start.copy()
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(beta))
+            move = np.linalg.solve(h, x.T @ (w * (p - t)) + 1e-2 * (beta - start))
+            beta -= np.clip(move, -2, 2)
+        if used.sum() == 1 or (beta[:-1] >= 0).all():
+            slopes = np.zeros(f.shape[1])
+            slopes[used] = np.maximum(beta[:-1], 0.05)
+            return slopes, float(beta[-1])
+        used[np.flatnonzero(used)[np.argmin(beta[:-1])]] = False
 
 
 @dataclass
 class ToxicityModel:
-    """table: a weight for each subsequence; a document scores sigmoid(slope * (strongest word's value) + shift)."""
+    """table: a weight for each subsequence; a document scores sigmoid(slopes * (values of its strongest words) + shift)."""
 
     table: np.ndarray
-    slope: float
+    slopes: np.ndarray
     shift: float
 
 
+def strongest_values(values: Iterable[float]) -> list[float]:
+    """The TOP largest distinct values; the last is repeated where there are fewer, none of no values. Words that are written
+    apart by signs only have one value, so they count once."""
+    top = nlargest(TOP, set(values))
+    return top + top[-1:] * (TOP - len(top)) if top else []
+
+
 def spelt(words: list[str]) -> list[str]:
     """Words that are spelt out as SPELT or more one-letter words in a row."""
     out, run = [], []
@@ -260,32 +293,20 @@ def distinct_rows(texts: list[str]) -> list[int]:
     return out
 
 
-def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
-    """Train on whole labelled texts. With rows of one label only, or none, all documents score the share of label 1."""
-    keep = distinct_rows(texts)
-    texts, labels = [texts[k] for k in keep], [labels[k] for k in keep]
-    y = np.array(labels, dtype=np.int64)
-    if len(set(labels)) < 2:
-        share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
-        return ToxicityModel(np.zeros(CODES, dtype=np.float32), 0.0, float(np.log(share / (1 - share))))
+def _learn(held: list[np.ndarray], y: np.ndarray, rows: list[int], vocabulary: list[str], made: list[tuple[np.ndarray, np.ndarray]], seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """The machine of some rows, given as places in the vocabulary: its table, its bias and the values of all words."""
     rng = np.random.default_rng(seed)
-    known: dict[str, str] = {}  # a word is held once, however many rows have it
-    bags = [sorted({known.setdefault(w, w) for w in words_of(t)}) for t in texts]
-    known.clear()
-    vocabulary = sorted({w for b in bags for w in b if parts(w)})
-    index = {w: i for i, w in enumerate(vocabulary)}
-    held = [np.array([index[w] for w in b if w in index], dtype=np.int64) for b in bags]
-    del bags, index
-    rows = [k for k in range(len(y)) if len(held[k])]
     seen = np.zeros((2, len(vocabulary)))
-    for words, label in zip(held, y, strict=True):
-        seen[label][words] += 1
-    odds = np.log((seen[1] + 0.5) / (y == 1).sum()) - np.log((seen[0] + 0.5) / (y == 0).sum())
-    often = max(3, SHARE * (y == 1).sum())
-    value, made = odds, blocks(vocabulary)
+    for k in rows:
+        seen[y[k]][held[k]] += 1
+    toxic_rows, clean_rows = max(1, sum(y[k] == 1 for k in rows)), max(1, sum(y[k] == 0 for k in rows))
+    odds = np.log((seen[1] + 0.5) / toxic_rows) - np.log((seen[0] + 0.5) / clean_rows)
+    often = max(3, SHARE * toxic_rows)
+    value = odds
     landmarks: list[str] = []
     clean = np.zeros(len(vocabulary))
     table = np.zeros(CODES, dtype=np.float32)
+    own = np.flatnonzero(seen.sum(axis=0))
     for turn in range(ROUNDS):
         strongest = []
         for k in rows:
@@ -298,7 +319,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
             first = np.argsort(-taken, kind="stable")[: LANDMARKS // 2]
             rival = np.unique(np.concatenate([s for k, s in zip(rows, strongest, strict=True) if not y[k]] or [np.zeros(0, dtype=np.int64)]))
             rival = rng.permutation(rival)[: LANDMARKS // 4]
-            chosen = np.unique(np.concatenate([first[taken[first] > 0], rival, rng.choice(len(vocabulary), min(len(vocabulary), LANDMARKS // 4), replace=False)]))
+            chosen = np.unique(np.concatenate([first[taken[first] > 0], rival, rng.choice(own, min(len(own), LANDMARKS // 4), replace=False)]))
             landmarks = [vocabulary[i] for i in chosen]
             codes, phi = _matrix(landmarks)
             e, v = np.linalg.eigh((phi @ phi.T).astype(np.float64))
@@ -315,14 +336,39 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
         label = np.where(toxic[words] > 0, 1.0, -1.0)
         weight = np.sqrt(np.where(label > 0, toxic[words], clean[words]))
         weight /= np.where(label > 0, weight[label > 0].sum(), weight[label < 0].sum())
-        z = _kernel([vocabulary[i] for i in words], codes, phi) @ root
+        z = _kernel([vocabulary[i] for i in words], codes, phi) @ root.astype(np.float32)
         beta, bias = _machine(z, label, weight)
         table = np.zeros(CODES, dtype=np.float32)
         table[codes] = (root @ beta) @ phi
         value = valued(len(vocabulary), made, table) + np.float32(bias)
-    best = np.array([value[held[k]].max() for k in rows], dtype=np.float64)
-    slope, shift = _logistic(best, y[rows])
-    return ToxicityModel(table, slope, shift + slope * bias)
+    return table, bias, value
+
+
+def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
+    """Train on whole labelled texts. With rows of one label only, or none, all documents score the share of label 1.
+
+    Probabilities are fitted to the values of the rows' strongest words; toxic rows weigh TOXIC_WEIGHT.
+    """
+    keep = distinct_rows(texts)
+    texts, labels = [texts[k] for k in keep], [labels[k] for k in keep]
+    y = np.array(labels, dtype=np.int64)
+    if len(set(labels)) < 2:
+        share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.001
+        return ToxicityModel(np.zeros(CODES, dtype=np.float32), np.zeros(TOP), float(np.log(share / (1 - share))))
+    known: dict[str, str] = {}  # a word is held once, however many rows have it
+    bags = [sorted({known.setdefault(w, w) for w in words_of(t)}) for t in texts]
+    known.clear()
+    vocabulary = sorted({w for b in bags for w in b if parts(w)})
+    index = {w: i for i, w in enumerate(vocabulary)}
+    held = [np.array([index[w] for w in b if w in index], dtype=np.int64) for b in bags]
+    del bags, index
+    rows = [k for k in range(len(y)) if len(held[k])]
+    made = blocks(vocabulary)
+    table, bias, value = _learn(held, y, rows, vocabulary, made, seed)
+    near = np.round(value, VALUE_DIGITS)
+    best = np.array([strongest_values(near[held[k]].tolist()) for k in rows])
+    slopes, shift = _logistic(best, y[rows])
+    return ToxicityModel(table, slopes, shift + float(slopes.sum() * bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -334,11 +380,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 def _batch_scorer(model: ToxicityModel):
     """Scores of an array of texts; words valued before are kept, up to CACHE_WORDS."""
     low = float(-1e30)
+    told = bool(model.slopes.any())
     known: dict[str, float] = {}
 
     def scores(texts: pa.Array) -> np.ndarray:
         nonlocal known
-        best = np.full(len(texts), low)
+        best = np.full((len(texts), TOP), low)
         at = 0
         while at < len(texts):  # some texts at a time, so that their new words are valued together
             bags, size = [], 0
@@ -352,11 +399,13 @@ def _batch_scorer(model: ToxicityModel):
                 new = list(set().union(*bags))
             for i in range(0, len(new), 50_000):
                 some = new[i : i + 50_000]
-                known.update(zip(some, values(some, model.table).tolist(), strict=True))
+                known.update(zip(some, np.round(values(some, model.table), VALUE_DIGITS).tolist(), strict=True))
             for bag in bags:
-                best[at] = max(map(known.__getitem__, bag), default=low)
+                top = strongest_values(v for v in map(known.__getitem__, bag) if v > low)
+                if top:
+                    best[at] = top
                 at += 1
-        z = np.where(best > low, model.slope * best + model.shift, -30.0 if model.slope else model.shift)
+        z = np.where(best[:, 0] > low, best.dot(model.slopes) + model.shift, -30.0 if told else model.shift)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     return scores
