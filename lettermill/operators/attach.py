@@ -32,6 +32,22 @@ def group_by_content(attachments: DataFrame) -> DataFrame:
     return kept.groupBy("hash").agg(F.min("id").alias("id"), F.min_by("filename", "id").alias("filename"), F.array_sort(F.collect_set("email_id")).alias("email_ids"))
 
 
+def content_members(attachments: DataFrame) -> DataFrame:
+    """(hash, email_id): every mail that has a content, once. Rows instead of a list, so a content of a third of all mails is
+    no value that one task must hold."""
+    return attachments.where(X.blank_to_null(F.col("hash")).isNotNull()).select("hash", "email_id").distinct()
+
+
+def content_representatives(attachments: DataFrame) -> DataFrame:
+    """(hash, id, filename, n_mails): for each content the smallest id with its name, and how many mails have it. Members stay
+    in content_members; only partial minima and counts meet at a hash."""
+    kept = attachments.where(X.blank_to_null(F.col("hash")).isNotNull())
+    pairs = kept.groupBy("hash", "email_id").agg(F.min(F.struct("id", "filename")).alias("first"))
+    # mails without an id count for nothing, as in a list of members
+    groups = pairs.groupBy("hash").agg(F.min("first").alias("first"), F.count("email_id").alias("n_mails"))
+    return groups.select("hash", "first.id", "first.filename", "n_mails")
+
+
 def dedupe_attachments(attachments: DataFrame) -> DataFrame:
     """One row for each mail and hash, the smallest id; rows without a hash stay."""
     w = Window.partitionBy("email_id", "hash").orderBy("id")
@@ -120,8 +136,10 @@ def convert_documents(documents: DataFrame, convert: Callable[[str, bytes], str]
 
 
 def process_attachments(attachments: DataFrame, indexed: DataFrame, blobs: DataFrame, convert=plain_converter) -> tuple[DataFrame, DataFrame]:
-    """Index rows of new contents, and dead letters of those that failed: duplicates go before the conversion."""
+    """Index rows of new contents, and dead letters of those that failed: duplicates go before the conversion, and lists of
+    members join the converted texts only."""
     groups = new_attachments_only(group_by_content(attachments), indexed)
-    converted = convert_documents(groups.join(blobs, "hash").select("hash", "filename", "content"), convert)
-    failed = converted.where("error is not null").join(groups, "hash").select("hash", "filename", F.lit("ATTACHMENT_CONVERT").alias("failure_type"), "error")
+    narrow = new_attachments_only(content_representatives(attachments), indexed)
+    converted = convert_documents(narrow.join(blobs, "hash").select("hash", "filename", "content"), convert)
+    failed = converted.where("error is not null").join(narrow, "hash").select("hash", "filename", F.lit("ATTACHMENT_CONVERT").alias("failure_type"), "error")
     return write_attachment_index(groups, converted.where("error is null")), failed

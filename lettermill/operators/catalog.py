@@ -104,6 +104,14 @@ def duplicate_files(catalog: DataFrame) -> DataFrame:
     return groups.where("n > 1").orderBy(F.desc("size"), "content_hash")
 
 
+def duplicate_members(catalog: DataFrame) -> DataFrame:
+    """(content_hash, size, id, n, first): a row for each file of duplicate_files' groups, the smallest id of a group marked. The
+    groups come from partial counts; the join that brings them back may be split where a hash is hot."""
+    files = catalog.where("content_hash is not null and size > 0").select("content_hash", "size", "id")
+    groups = files.groupBy("content_hash", "size").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("_least")).where("n > 1")
+    return files.join(groups, ["content_hash", "size"]).select("content_hash", "size", "id", "n", (F.col("id") == F.col("_least")).alias("first"))
+
+
 def dedupe_files(catalog: DataFrame) -> DataFrame:
     """One row for each hash and size, a processed one first; files without a hash stay."""
     w = Window.partitionBy("content_hash", "size").orderBy((F.col("status") == "Processed").desc(), "id")

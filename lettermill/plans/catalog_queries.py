@@ -91,6 +91,11 @@ def a4(spark, sf):
     return C.duplicate_files(files(spark, sf))
 
 
+@query("a4_duplicate_members", sql("select content_hash, size, id, count(*) over g as n, id = min(id) over g as first from file_catalog where content_hash is not null and size>0 window g as (partition by content_hash, size) qualify count(*) over g > 1"))
+def a4b(spark, sf):
+    return C.duplicate_members(files(spark, sf))
+
+
 @query("a5_dedupe_files", sql("select id from file_catalog where content_hash is null union all (select id from file_catalog where content_hash is not null qualify row_number() over(partition by content_hash, size order by status='Processed' desc, id)=1)"))
 def a5(spark, sf):
     return C.dedupe_files(files(spark, sf)).select("id")

@@ -220,6 +220,16 @@ def a2(spark, sf):
     return attach.group_by_content(table(spark, sf, "attachments")).withColumn("email_ids", F.array_join("email_ids", ","))
 
 
+@query("a2_content_members", duckdb("select distinct hash, email_id from attachments where hash is not null", "attachments"))
+def a2b(spark, sf):
+    return attach.content_members(table(spark, sf, "attachments"))
+
+
+@query("a2_content_representatives", duckdb("select hash, min(id) as id, arg_min(filename, id) as filename, count(distinct email_id) as n_mails from attachments where hash is not null group by hash", "attachments"))
+def a2c(spark, sf):
+    return attach.content_representatives(table(spark, sf, "attachments"))
+
+
 @query("a3_dedupe_attachments", duckdb("select id from attachments where hash is null union all (select id from attachments where hash is not null qualify row_number() over(partition by email_id, hash order by id)=1)", "attachments"))
 def a3(spark, sf):
     return attach.dedupe_attachments(table(spark, sf, "attachments")).select("id")
@@ -253,7 +263,10 @@ def s7(spark, sf):
     return attach.store_blobs(c, stored).select("hash", F.octet_length("content").alias("bytes"))
 
 
-@query("d2_convert_documents")
+@query(
+    "d2_convert_documents",
+    "select sha256(text) as hash, any_value(array_to_string(list_filter(string_split_regex(text,'\\s+'), lambda x: x<>''),' ')) as markdown, cast(null as varchar) as error from documents group by 1",
+)
 def d2(spark, sf):
     return attach.convert_documents(contents(spark, sf).withColumn("hash", X.content_hash(F.col("content"))))
 
@@ -272,7 +285,11 @@ def s9(spark, sf):
     return index.withColumn("email_ids", F.array_join("email_ids", ","))
 
 
-@query("d6_process_attachments")
+@query(
+    "d6_process_attachments",
+    """select hash, filename, 'ATTACHMENT_CONVERT' as failure_type, 'ValueError: odd file' as error from
+        (select sha256(text) as hash, arg_min(concat(doc_id,'.txt'), cast(doc_id as varchar)) as filename from documents group by 1) where cast(split_part(filename,'.',1) as bigint) % 2 = 1""",
+)
 def d6(spark, sf):
     a = document_attachments(spark, sf)
 
