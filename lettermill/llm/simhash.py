@@ -75,16 +75,24 @@ def packed_counts(fp):
     return one.bitwiseOR(F.shiftleft(two, 1))
 
 
-def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distance of segment counts: |x - y| over 0..2 is 2 exactly where the bits differ both ways alike."""
-    ca, cb = a - ((a >> np.uint64(1)) & np.uint64(EVEN)), b - ((b >> np.uint64(1)) & np.uint64(EVEN))
-    differ = ca ^ cb
+def counted(fp: np.ndarray) -> np.ndarray:
+    """packed_counts() of unsigned fingerprints in numpy."""
+    return fp - ((fp >> np.uint64(1)) & np.uint64(EVEN))
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Manhattan distance of counted() segments: |x - y| over 0..2 is 2 exactly where the bits differ both ways alike."""
+    differ = a ^ b
     # Counts are 00, 01, 10: they differ by one where exactly one of the pairs is 01, else by two (00 against 10).
     low = differ & np.uint64(EVEN)
     high = (differ >> np.uint64(1)) & np.uint64(EVEN)
     return np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count(high & ~low).astype(np.int64)
 
 
+def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return apart(counted(a), counted(b))
+
+
 def _finder(bits: int):
     keys = ["cell", "value", "lo", "hi"]
 
