@@ -155,6 +155,36 @@ def spanning(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray
     return node[touched], label[touched]
 
 
+#: Links that a task of contracted() joins at once.
+LINK_ROWS = 1 << 20
+
+
+def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+
+    def out():
+        a, b = (np.concatenate([batch.column(k).to_numpy() for batch in held]) for k in (0, 1))
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = spanning(at[: len(a)], at[len(a) :], node)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= LINK_ROWS:
+            yield out()
+            held, rows = [], 0
+    if rows:
+        yield out()
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links that join the same nodes as links (a long, b long). A node of a dense group has a star from nearly every
+    task; the stars of a node meet in one task, which gives one link for each node that it reads."""
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return ends.repartition("a").mapInArrow(_joiner, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long): a row (node, root) for each node that is not the smallest of its
     component; root is the smallest. Alternating large-star and small-star steps, each a few joins and partial
