@@ -98,7 +98,7 @@ def add_batch(changes: DataFrame, path: str, batch: int, stop: list[str]) -> Non
     store(fresh.select("doc", "seq", "op"), "versions")
     gone = stage(fresh.where("old_op <> 'delete'").select("doc", "of"), "gone")
     store(gone, "gone")
-    base = stage(S.postings(fresh.where("op <> 'delete'"), stop, "doc"), "base")
+    base = stage(S.postings(fresh.where("op <> 'delete'"), stop, "doc", unique=True), "base")
     lost = read(spark, path, "postings", before).withColumnRenamed("batch", "of").join(gone, ["doc", "of"], "left_semi")
     lost = stage(lost, "lost")
     signed = _counts(base).unionByName(_counts(lost).select("field", (-F.col("docs")).alias("docs"), (-F.col("words")).alias("words")))
